@@ -11,7 +11,7 @@ from .common import WORD, staged
 #: Score ranges in which a source's sizes are summed before single rows are ranked.
 RANGES = 4096
 #: Documents that may be added to a source, after the sample.
-FILLS = 3
+FILLS = 5
 
 
 def word_count(text: Column) -> Column:
@@ -53,8 +53,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     drawn from the id, over the odds of p; the lowest are taken while their words
     fit what the certain copies leave of the target. So the sample has a fixed
     size in words, and its documents unequal probabilities. At most FILLS more
-    documents, each the one that brings the sum nearest to the target, then fill
-    the gap that the last one left.
+    documents then fill the gap that the last one left, each the largest that
+    fits, and the last the one that ends nearest to the target.
 
     Scale. One narrow table (no texts) is written; sizes are summed by score
     range, and rows are ranked in the one range in which a source's target falls,
@@ -91,9 +91,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     gap = d.groupBy("s").agg((F.first("left") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
     added = None
-    for _ in range(FILLS):
+    for turn in range(FILLS):
         gap = staged(gap, "gap")
-        free = d.where("q is not null and more = 0").join(gap, "s").where("size < 2 * gap")
+        free = d.where("q is not null and more = 0").join(gap, "s").where("size <= gap" if turn < FILLS - 1 else "size < 2 * gap")
         if added is not None:
             free = free.join(added, "rid", "left_anti")
         best = staged(free.groupBy("s").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "q", "doc_id", "size", "rid")).alias("b")).select("s", F.col("b.rid").alias("rid"), F.col("b.size").alias("fit")), "best")

@@ -35,17 +35,17 @@ q as (select *, row_number() over (order by doc_id, size) as rid, case when p >
              target - sum(certain * size) over (partition by source) as left_ from p),
 c as (select *, case when q is not null and sum(size) over (partition by source, q is null order by q, doc_id, size, rid rows unbounded preceding) <= left_ then 1 else 0 end as more from q),
 fills as (
-  select 0 as turn, source, left_ - sum(more * size) as gap, cast(null as bigint) as rid, cast(null as bigint) as r1, cast(null as bigint) as r2 from c group by source, left_
+  select 0 as turn, source, left_ - sum(more * size) as gap, cast([] as bigint[]) as rids from c group by source, left_
   union all
-  select f.turn + 1, f.source, f.gap - coalesce(b.size, 0), b.rid, f.rid, f.r1
+  select f.turn + 1, f.source, f.gap - coalesce(b.size, 0), case when b.rid is null then f.rids else list_append(f.rids, b.rid) end
   from fills f left join lateral (
-    select c.rid, c.size from c where c.source is not distinct from f.source and c.q is not null and c.more = 0 and c.size < 2 * f.gap
-      and c.rid is distinct from f.rid and c.rid is distinct from f.r1 and c.rid is distinct from f.r2
+    select c.rid, c.size from c where c.source is not distinct from f.source and c.q is not null and c.more = 0 and c.size < case when f.turn < 4 then f.gap + 1e-9 else 2 * f.gap end
+      and not list_contains(f.rids, c.rid)
     order by abs(f.gap - c.size), c.q, c.doc_id, c.size, c.rid limit 1) b on true
-  where f.turn < 3)
+  where f.turn < 5)
 select doc_id, size, source_size, target, cast((certain + more + case when x.rid is not null then 1 else 0 end) * size as bigint) as taken,
        cast(certain + more + case when x.rid is not null then 1 else 0 end as bigint) as copies, c.source
-from c left join (select rid from fills where rid is not null) x on c.rid = x.rid
+from c left join (select unnest(rids) as rid from fills where turn = 5) x on c.rid = x.rid
 """,
     "op3_quality_cascade": f"""
 with t as (select doc_id, coalesce(text, '') as text, {_WORDS.format(text="text")} as w, row_number() over () as k from documents),
