@@ -13,7 +13,9 @@ from .components import connected_components
 from .words import shingle_sets, slices
 
 #: Postings that one bucket of tokens is meant to hold.
-BUCKET_POSTINGS = 2_000_000
+BUCKET_POSTINGS = 500_000
+#: Bits of a set's signature: the parity of its tokens by hash.
+SIGNATURE = 1024
 #: Rounds in which each list links its members to one leader only, before the
 #: links still open are tried one by one.
 LEADER_ROUNDS = 2
@@ -118,10 +120,24 @@ def _verify(percent: int):
     return run
 
 
+_SIG = [f"s{k}" for k in range(SIGNATURE // 64)]
+
+
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each bit, as 64-bit words.
+
+    Two sets differ in at least as many tokens as their signatures do in bits.
+    """
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches):
     for batch in batches:
         for part in slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"))], pa.binary())], ["doc_id", "tokens"])
+            sets = shingle_sets(part.column("text"))
+            sig = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, len(_SIG)), np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(len(_SIG)))], ["doc_id", "tokens", *_SIG])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -170,12 +186,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         least = F.greatest(F.lit(1), F.expr(f"int(ceil({percent} * n / 100)) div 10"))
         able = staged(common.where(F.col("k") >= least).select("cls", "n"), "able")
     with arrow_rows(spark, 1000):
-        sets = staged(docs.join(able.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary").distinct(), "sets")
+        sets = staged(docs.join(able.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary, " + ", ".join(f"{c} long" for c in _SIG)).distinct(), "sets")
 
     # second order, by frequency among those: the rarest tokens of the documents that
     # have enough tokens in common with others at all
     with arrow_rows(spark, 500):
-        shared = staged(by_token(sets, _shared_tokens, "doc long, token long, df long"), "shared")
+        shared = staged(by_token(sets.select("doc_id", "tokens"), _shared_tokens, "doc long, token long, df long"), "shared")
     least = F.expr(f"int(ceil({percent} * n / 100))")
     lists = shared.groupBy(F.col("doc").alias("cls")).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own")).join(able, "cls").where(F.size("own") >= least)
     lists = staged(lists.select("cls", "n", F.explode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("x")).select("cls", "n", F.col("x.token").alias("token")), "lists")
@@ -186,22 +202,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         with arrow_rows(spark, 200):
             return staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"), "links")
 
-    near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    # tokens in which a linked pair differs are at most the bound; their signatures differ in no more bits
+    differ = " + ".join(f"bit_count({c} ^ z{c})" for c in _SIG)
+    near = f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * ({differ}) <= {100 - percent} * (n + m)"
+    marks = sets.select(F.col("doc_id").alias("cls"), *_SIG)
+    far = [F.col(c).alias(f"z{c}") for c in _SIG]
     comps = staged(lists.select("cls", F.col("cls").alias("comp")).distinct(), "comps")
     for turn in range(LEADER_ROUNDS + 1):
         open_ = lists.join(comps, "cls")
         # lists whose members are still in different components
         mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        open_ = staged(open_.join(mixed, "token"), "open")
+        open_ = staged(open_.join(mixed, "token").join(marks, "cls"), "open")
         if open_.isEmpty():
             break
         if turn < LEADER_ROUNDS:
-            first = F.struct("cls", "n", "comp") if not turn else F.struct(F.xxhash64("cls", F.lit(turn)), "cls", "n", "comp")
-            lead = open_.groupBy("token").agg(F.min(first).alias("l")).select("token", F.col("l.cls").alias("a"), F.col("l.n").alias("m"), F.col("l.comp").alias("c"))
+            first = F.struct("cls") if not turn else F.struct(F.xxhash64("cls", F.lit(turn)), "cls")
+            lead = open_.groupBy("token").agg(F.min(first)["cls"].alias("cls"))
+            lead = lead.join(open_.select("cls", "n", "comp", *_SIG).distinct(), "cls").select("token", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), *far)
             pairs = open_.join(lead, "token").where(f"comp <> c and {near}")
             pairs = pairs.groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a"))
         else:
-            other = open_.select("token", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"))
+            other = open_.select("token", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), *far)
             pairs = open_.join(other, "token").where(f"c < comp and {near}").select("a", F.col("cls").alias("b")).distinct()
         found = verified(pairs)
         if found.isEmpty():

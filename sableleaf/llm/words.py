@@ -25,7 +25,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 _powers = np.ones(1, dtype=np.uint64)
 #: Bytes hashed at once; the working arrays take about 30 times this.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 WINDOW = 5
 
 
@@ -171,7 +171,7 @@ def repeated_words(w: Words) -> np.ndarray:
     return inside[w.first[1:]] - inside[w.first[:-1]]
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
     """Cut a batch into runs of rows whose texts take about `size` bytes."""
     _, at = raw(batch.column(column))
     low, n = 0, batch.num_rows
