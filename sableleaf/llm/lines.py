@@ -13,6 +13,8 @@ from .words import mix, powers
 #: Lines of fewer characters are only compared for equality: one edit turns a
 #: short line into another line.
 MIN_CHARS = 20
+#: Line digests are filtered by their remainder before texts move: at most so many are broadcast.
+RESIDUES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -61,6 +63,26 @@ def _emit(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)), pa.array(place, pa.int32()), part.column("h1").take(of), part.column("h2").take(of), part.column("first").take(of)], ["v", "place", "h1", "h2", "first"])
 
 
+def _letters(batches):
+    """Keys of a line's bag of letters and of the bag less one letter: lines within an edit share one."""
+    for batch in batches:
+        key, size = [], []
+        for x in batch.column("line").to_pylist():
+            code, count = np.unique(np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.uint64), return_counts=True)
+            g = mix(code * np.uint64(_BASE) + np.uint64(1))
+            bag = (g * count.astype(np.uint64)).sum(keepdims=True)
+            key.append(np.concatenate([bag, bag - g]))
+            size.append(len(code) + 1)
+        of = pa.array(np.repeat(np.arange(len(size)), np.array(size, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("h1").take(of), pa.array(np.concatenate(key).view(np.int64) if key else np.zeros(0, np.int64))], ["h1", "key"])
+
+
+def _shared_by_two(keyed: DataFrame) -> DataFrame:
+    """The lines (h1) of which a key is that of another line too; counted before keys are joined back."""
+    many = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
+    return staged(keyed.join(many, "key", "left_semi").select("h1").distinct(), "shared")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = MIN_CHARS) -> DataFrame:
     """Lines to remove from each document: equal to, or within one edit of, an earlier line.
 
@@ -73,7 +95,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Method. Lines are reduced to distinct ones by digest. By the pigeonhole
     principle, two lines within an edit share a half; lines that share none with
-    another line drop out. The rest emit every variant with one character
+    another line drop out, and so do lines whose letters, as a bag, are more than an
+    edit from those of any other. The rest emit every variant with one character
     deleted, as a hash with its place. Lines with an equal variant at an equal
     place differ in that one character, so each goes for the earliest of them; a
     variant equal to a whole line ties just those two. So groups are met by their
@@ -92,16 +115,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = lines_of(src).select("rid", "doc_id", "line_no", h1.alias("h1"), h2.alias("h2"), F.when(chars >= min_chars, half_keys(F.col("line"), chars)).alias("keys"))
     rows = staged(rows, "lines")
     here = F.struct("doc_id", "line_no", "rid")
-    distinct = rows.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.first("keys").alias("keys"))
+    distinct = rows.groupBy("h1", "h2").agg(F.min(here).alias("first"))
 
     near = None
     if edits:
-        keyed = distinct.where("keys is not null").select("h1", "h2", "first", F.explode("keys").alias("key"))
-        keyed = staged(keyed, "halves")
-        many = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-        live = staged(keyed.join(many, "key", "left_semi").select("h1", "h2", "first").distinct(), "live")
+        live = _shared_by_two(rows.where("keys is not null").select("h1", F.explode("keys").alias("key")))
+        # lines are read again; a bounded filter goes before the join that moves their text
+        rest = F.broadcast(live.select(F.pmod("h1", F.lit(RESIDUES)).alias("r")).distinct())
         again = lines_of(src).where(chars >= min_chars).select("line", h1.alias("h1"), h2.alias("h2"))
-        live = staged(again.join(live, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("line").alias("line")), "live_lines")
+        again = again.join(rest, F.pmod("h1", F.lit(RESIDUES)) == F.col("r"), "left_semi").join(live, "h1", "left_semi")
+        live = staged(again.groupBy("h1", "h2").agg(F.first("line").alias("line")), "half_lines")
+        with arrow_rows(spark, 1000):
+            live = live.join(_shared_by_two(live.mapInArrow(_letters, "h1 long, key long")), "h1", "left_semi")
+        live = staged(live.join(distinct, ["h1", "h2"]), "live_lines")
         kind = live.schema["first"].dataType.simpleString()
         with arrow_rows(spark, 1000):
             v = staged(live.repartition("h1").mapInArrow(_emit, f"v long, place int, h1 long, h2 long, first {kind}"), "variants")
@@ -117,7 +143,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = pairs.join(text, ["h1", "h2"]).join(text.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("line").alias("earlier")), ["w1", "w2"])
         near = staged(pairs.where(F.levenshtein("line", "earlier", 1) == 1).select("h1", "h2").distinct(), "near")
 
-    firsts = distinct.select("h1", "h2", "first")
+    firsts = distinct
     firsts = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left") if near is not None else firsts.withColumn("near", F.lit(None).cast("boolean"))
     told = rows.drop("keys").join(firsts, ["h1", "h2"])
     again = F.struct("doc_id", "line_no", "rid") != F.col("first")
