@@ -18,6 +18,7 @@ as many as the largest id of the block needs). Blocks hold BLOCK ids, the last o
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -37,7 +38,10 @@ MAGIC = b"SLTOKEN1"
 BLOCK = 1 << 16
 FOOTER = struct.Struct("<5Q8s")
 #: Ids of distinct words that a worker keeps, at most; it then starts anew.
-CACHE = 300_000
+CACHE = 500_000
+#: Fixed value: the split that keeps letters, digits and other signs apart.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?]+(?=[\x09-\x0d\x20]|\Z)")
 #: Bytes of text that one file is meant to hold.
 FILE_BYTES = 32 << 20
 
@@ -164,7 +168,7 @@ class WordTokenizer:
 
     Only for vocabularies whose pre-tokenizer drops white space: there the ids of
     a text are those of its words (split at 0x20 and 0x09-0x0D), one after the
-    other. Other vocabularies are encoded text by text.
+    other; where letters and signs are kept apart, so are the signs behind a word. Other vocabularies are encoded text by text.
     """
 
     def __init__(self, path: str):
@@ -178,6 +182,8 @@ class WordTokenizer:
         cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         # the matches stay and no match holds white space; added strings hold none either and keep their surroundings
         self.by_word = cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\v\f\r") for t in spec["added_tokens"])
+        # signs behind a word are then a word of their own, and case doesn't count
+        self.apart = self.by_word and cut[0].get("pattern") == {"Regex": APART} and {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", [])
         self._anew()
 
     def _anew(self) -> None:
@@ -195,6 +201,11 @@ class WordTokenizer:
         self.len = np.concatenate([self.len, size])
         self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))])
 
+    def _words(self, text: bytes) -> list[bytes]:
+        if self.apart and b"<" not in text:  # no added string can be in it
+            text = _TAIL.sub(lambda m: b" " + m[0], text.lower())
+        return text.split()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each."""
         if not self.by_word:
@@ -202,7 +213,7 @@ class WordTokenizer:
             return np.concatenate([np.zeros(0, np.uint32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
         if len(self.known) >= CACHE:
             self._anew()
-        split = [t.encode().split() for t in texts]
+        split = [self._words(t.encode()) for t in texts]
         new = list({w for s in split for w in s if w not in self.known})
         if new:
             self._learn(new)
