@@ -72,5 +72,16 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(_ARROW_ROWS, before)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's rows of an Arrow batch to `rows`, and leave them there.
+
+    Frames that an operator returns are run after the call, so a bound that holds
+    for a block only would be gone by then. A lower setting stays as it is.
+    """
+    now = int(spark.conf.get(_ARROW_ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(_ARROW_ROWS, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

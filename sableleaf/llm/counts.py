@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .words import slices
 
 #: Counts of distinct chunks that a worker keeps, at most; it then starts anew.
@@ -126,6 +127,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     are ignored. `path` names a vocabulary file that every executor can open. One
     worker's caches hold CACHE entries each at most.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, staged
 from .words import raw, slices
 
 #: Bytes of a piece that the scan looks up; no piece is shorter, unless its item is.
@@ -198,6 +199,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Empty tables give an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
@@ -220,14 +222,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """The documents that hold no test item, with all their columns.
 
-    A row stays if its own text holds none, so of rows that repeat an id, or have
-    none, only those with a hit go: hits are joined back by id and by the text's
-    digest.
+    Each block of items makes one pass in which a row stays if its own text holds
+    none of them; texts aren't shuffled or joined. Beyond the first block, what a
+    pass kept is written before the next, so that a worker holds one block.
+    Null and empty texts stay, ids aren't read, empty tables give what is left.
     """
-    mark = F.xxhash64(text_col)
-    hits = find_leaks(docs.withColumn("__key", F.struct(F.col(id_col).alias("i"), mark.alias("t"))), benchmark, "__key", text_col, **names)
-    gone = hits.select(F.col("doc_id.i").alias("__i"), F.col("doc_id.t").alias("__t")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__i")) & (mark == F.col("__t")), "left_anti")
+    spark, schema = docs.sparkSession, docs.schema
+    bound_batches(spark)
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    for k, index in enumerate(_blocks(items, rate)):
+        held = spark.sparkContext.broadcast(index)
+
+        def run(batches, held=held):
+            own = held.value
+            for batch in batches:
+                for part in slices(batch, text_col, 1 << 20):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[hit[0] for hit in _search(own, part.column(text_col))]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = (staged(docs, "unleaked") if k else docs).mapInArrow(run, schema)
+    return docs

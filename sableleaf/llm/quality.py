@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .words import Words, raw, repeated_words, slices, words
 
 #: Fixed value: the symbols that n_symbols counts.
@@ -113,6 +114,7 @@ def estimate(docs: DataFrame, rules=RULES, text_col: str = "text", rows: int = S
     The sample fixes the order only, never a verdict. An empty table gives no
     cost and no rejection.
     """
+    bound_batches(docs.sparkSession)
     every = docs.count()
     share = min(1.0, rows / max(1, every))
 
