@@ -96,10 +96,9 @@ def _common(group: pa.Table):
     return doc[many], token[many].view(np.int64), df[many]
 
 
-def _shared_counts(group: pa.Table) -> pa.Table:
-    doc, _, _ = _common(group)
-    ids, n = np.unique(doc, return_counts=True)
-    return pa.table({"doc": pa.array(ids, pa.int64()), "k": pa.array(n, pa.int64())})
+def _shared_docs(group: pa.Table) -> pa.Table:
+    """A row for each posting, so that the rows don't depend on the number of buckets."""
+    return pa.table({"doc": pa.array(_common(group)[0], pa.int64())})
 
 
 def _shared_tokens(group: pa.Table) -> pa.Table:
@@ -181,8 +180,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # first order, by hash: documents with enough common tokens in their prefix
     with arrow_rows(spark, 2000):
-        counts = by_token(classes.select(F.col("cls").alias("doc_id"), F.col("prefix").alias("tokens")), _shared_counts, "doc long, k long")
-        common = counts.groupBy(F.col("doc").alias("cls")).agg(F.sum("k").alias("k")).join(classes.select("cls", "n"), "cls")
+        counts = by_token(classes.select(F.col("cls").alias("doc_id"), F.col("prefix").alias("tokens")), _shared_docs, "doc long")
+        common = counts.groupBy(F.col("doc").alias("cls")).agg(F.count("*").alias("k")).join(classes.select("cls", "n"), "cls")
         least = F.greatest(F.lit(1), F.expr(f"int(ceil({percent} * n / 100)) div 10"))
         able = staged(common.where(F.col("k") >= least).select("cls", "n"), "able")
     with arrow_rows(spark, 1000):
