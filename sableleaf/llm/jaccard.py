@@ -105,13 +105,32 @@ def _shared_tokens(group: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("doc", "token", "df"), _common(group), strict=True)})
 
 
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens that two sorted sets have in common."""
+    if not len(x) or not len(y):
+        return 0
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+
+
+def passes_orders(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether a pair shares enough prefix tokens under the hash order and under its reverse.
+
+    Linked sets always do, by the same count as in `least_common`.
+    """
+    need = max(1, min(len(x), len(y)) // 10)
+    a, b = len(prefix(x, percent)), len(prefix(y, percent))
+    return shared(x[:a], y[:b]) >= need and shared(x[len(x) - a :], y[len(y) - b :]) >= need
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                if not passes_orders(x, y, percent):
+                    continue
+                common = shared(x, y)
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
@@ -151,8 +170,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes share `least_common` tokens of it; tokens found in one prefix only
     drop out, and so do classes left with too few. Second order, by frequency
     among those tokens, rarest first: linked classes share a token of the
-    shortened prefix. Candidates pass both orders and the length bound before
-    their sets are fetched and compared. In the first rounds each list of
+    shortened prefix. Candidates pass that order and the bounds on length and
+    signature before their sets are fetched; each pair must then share enough
+    prefix tokens under the hash order and under its reverse too, and only pairs
+    that all orders let through are verified in full. In the first rounds each list of
     classes with a common token proposes links to a leader only; the classes so
     linked need no further comparison, and the last round tries every pair in a
     list that is still in different components, so no link between components
@@ -190,9 +211,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # second order, by frequency among those: the rarest tokens of the documents that
     # have enough tokens in common with others at all
     with arrow_rows(spark, 500):
-        shared = staged(by_token(sets.select("doc_id", "tokens"), _shared_tokens, "doc long, token long, df long"), "shared")
+        again = staged(by_token(sets.select("doc_id", "tokens"), _shared_tokens, "doc long, token long, df long"), "shared")
     least = F.expr(f"int(ceil({percent} * n / 100))")
-    lists = shared.groupBy(F.col("doc").alias("cls")).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own")).join(able, "cls").where(F.size("own") >= least)
+    lists = again.groupBy(F.col("doc").alias("cls")).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own")).join(able, "cls").where(F.size("own") >= least)
     lists = staged(lists.select("cls", "n", F.explode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("x")).select("cls", "n", F.col("x.token").alias("token")), "lists")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -248,9 +269,15 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     """Keep one document of each group of near copies: the one with the smallest id.
 
     Documents without words and documents without an id are kept; of rows that
-    repeat an id every row stays, and the text decides nothing further. All
-    columns of `docs` come back.
+    repeat an id one stays for each different text. All columns of `docs` come
+    back.
     """
     found = jaccard_components(docs, id_col, text_col, percent)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    out = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    twice = staged(docs.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1 and __id is not null").select("__id"), "repeated_ids")
+    if twice.isEmpty():
+        return out
+    same = out[id_col].cast("long") == twice["__id"]
+    once = out.join(twice, same, "left_semi").dropDuplicates([id_col, text_col])
+    return out.join(twice, same, "left_anti").unionByName(once)

@@ -94,7 +94,32 @@ def test_jaccard(spark):
     assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted({i for i in top if top[i] == i})
 
 
+def test_jaccard_orders():
+    """No linked pair is lost by the orders; unlike pairs with a common token mostly are."""
+    r = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(r.integers(1, 200))
+        x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < r.uniform(0.5, 1)], r.integers(0, 2**63, int(r.integers(0, 1 + n // 8))).astype(np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        assert jaccard.shared(x, y) == jaccard.shared(y, x) == common
+        if common and 100 * common >= 80 * (len(x) + len(y) - common):
+            assert jaccard.passes_orders(x, y, 80) and jaccard.passes_orders(y, x, 80)
+    a, b = np.arange(0, 100, dtype=np.uint64), np.arange(99, 199, dtype=np.uint64)
+    assert not jaccard.passes_orders(a, b, 80)
+
+
+def test_jaccard_repeated_rows(spark):
+    """Of rows that repeat an id one stays for each text; null ids and texts stay, a far row of a repeated id too."""
+    a, b = "one two three four five six", "another text of quite other words here"
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, "x y z"), (None, a), (None, a), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "s", 0, "x") for i, t in rows], SCHEMA)
+    kept = Counter((x["doc_id"], x["text"]) for x in jaccard.dedupe(df).collect())
+    assert kept == Counter({(1, a): 1, (3, b): 1, (3, "x y z"): 1, (None, a): 2, (4, None): 1, (5, ""): 1})
+
+
 def test_jaccard_empty(spark):
+    assert jaccard.dedupe(empty(spark)).count() == 0
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
 
