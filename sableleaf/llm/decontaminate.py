@@ -131,7 +131,7 @@ def _folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _search(index: Index, texts: pa.Array):
     """(text number, item number, distance, start, end) of the best hit of each item in each text."""
     data, at = _folded(texts)
-    found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
+    found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}  # by place: least and largest offset of a piece found there
     if len(index.keys):
         h = _anchors(data)
         place = np.flatnonzero(index.maybe[h >> index.shift])
@@ -139,26 +139,30 @@ def _search(index: Index, texts: pa.Array):
         for p, t in zip(place.tolist(), (np.searchsorted(at, place, "right") - 1).tolist(), strict=True):
             for n, offset, piece in index.by_anchor[int(h[p])]:
                 if p + len(piece) <= at[t + 1] and data[p : p + len(piece)].tobytes() == piece:
-                    found.setdefault((t, n), {})[p] = (offset, len(piece))
+                    hits = found.setdefault((t, n), {})
+                    a, b = hits.get(p, (offset, offset))
+                    hits[p] = min(a, offset), max(b, offset)
+    now = None
     for (t, n), hits in found.items():
         item, k = index.items[n][1], index.budget[n]
-        text = data[at[t] : at[t + 1]].tobytes()
-        best, seen = None, -1
+        if t != now:  # found is in order of texts
+            own = data[at[t] : at[t + 1]]
+            now, text, char = t, own.tobytes().decode(), np.cumsum((own & 0xC0) != 0x80) - 1
+        # windows in characters; those that overlap are searched as one
+        windows: list[list[int]] = []
         for p in sorted(hits):
-            offset, _ = hits[p]
-            # the window in bytes: a character takes four at the most
-            low = max(0, p - int(at[t]) - 4 * (offset + k))
-            before = text[low : p - int(at[t])].decode(errors="ignore")[-(offset + k) :] if offset + k else ""
-            rest = text[p - int(at[t]) : p - int(at[t]) + 4 * (len(item) - offset + k)].decode(errors="ignore")[: len(item) - offset + k]
-            begin = p - len(before.encode())
-            if begin + len((before + rest).encode()) <= seen:
-                continue  # inside the window before
-            seen = begin + len((before + rest).encode())
-            d, end = myers(item, before + rest)
+            c, (least, most) = int(char[p - at[t]]), hits[p]
+            low, high = max(0, c - most - k), min(len(text), c - least + len(item) + k)
+            while windows and low <= windows[-1][1]:
+                first, last = windows.pop()
+                low, high = min(low, first), max(high, last)
+            windows.append([low, high])
+        best = None
+        for low, high in windows:
+            d, end = myers(item, text[low:high])
             if d <= k and (best is None or d < best[0]):
-                left = myers(item[::-1], (before + rest)[:end][::-1])[1]
-                at_char = len(text[: begin - int(at[t])].decode(errors="ignore"))
-                best = (d, at_char + end - left, at_char + end)
+                left = myers(item[::-1], text[low : low + end][::-1])[1]
+                best = (d, low + end - left, low + end)
         if best:
             yield (t, n, *best)
     for n in index.short:

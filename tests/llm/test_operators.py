@@ -185,6 +185,29 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(empty(spark), bench).count() == 0
 
 
+def test_decontaminate_repeated_phrase():
+    """A phrase that occurs twice in an item opens windows that end late but begin late; copies edited in front are found all the same."""
+    r = random.Random(8)
+    phrase = "which of the following statements is true about the"
+    for _ in range(60):
+        other = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(3, 7))) for _ in range(r.randint(4, 14))) for _ in range(3)]
+        item = f"{other[0]} {phrase} {other[1]} {phrase} {other[2]}"
+        k = decontaminate.pieces(item)[0]
+        z = list(item)
+        for _ in range(k):
+            z[r.randrange(len(z) // 2)] = r.choice("xyz")
+        text = f"some text {phrase} and more of it " + "".join(z) + " fghij" * 30
+        want = decontaminate.myers(item, decontaminate.normal(text))
+        assert want[0] <= k
+        got = list(decontaminate._search(decontaminate.Index([(0, item)]), pa.array([text])))
+        assert [(x[2], x[4]) for x in got] == [want]
+    # one place in the text, two offsets in the item
+    item = "abcdefghijklmnop" * 6
+    text = "x" * 40 + item
+    got = list(decontaminate._search(decontaminate.Index([(0, item)]), pa.array([text])))
+    assert got == [(0, 0, 0, 40, 136)]
+
+
 def test_mix(spark):
     r = random.Random(6)
     texts = [" ".join(["w"] * r.randint(0, 80)) for _ in range(600)] + [None]
