@@ -10,7 +10,7 @@ from .common import WORD, staged
 
 #: Score ranges in which a source's sizes are summed before single rows are ranked.
 RANGES = 4096
-#: Documents that may be added to a source, after the sample.
+#: Documents that first try to fill a source, after the sample.
 FILLS = 5
 
 
@@ -42,6 +42,33 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
     return s.withColumn("target", F.when(full, F.col("most").cast("double")).otherwise(F.col("level.left").cast("double") * F.col("w") / F.col("level.rest"))).select("source", "source_size", "target")
 
 
+def _fitting(free: DataFrame, gap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents (s, rid) taken down the Pareto order wherever they fit the gap, and the gaps (s, gap) left.
+
+    Each round takes the longest run of documents that fit together, then leaves
+    out those larger than what is left: the gap falls below the size of the one
+    that ended the run, so the rounds are few.
+    """
+    taken = None
+    while True:
+        gap = staged(gap, "gap")
+        free = staged(free.join(gap, "s").where("size <= gap"), "fitting")
+        if free.isEmpty():
+            break
+        runs = free.groupBy("s", "r").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+        runs = runs.withColumn("upto", F.sum("words").over(W.partitionBy("s").orderBy("r")))
+        edge = runs.where("upto > gap").groupBy("s").agg(F.min(F.struct("r", (F.col("gap") - F.col("upto") + F.col("words")).alias("room"))).alias("x")).select("s", F.col("x.r").alias("edge"), "x.room")
+        cut = free.join(staged(edge, "edge"), "s", "left")
+        whole = cut.where("edge is null or r < edge").select("s", "rid", "size")
+        upto = F.sum("size").over(W.partitionBy("s").orderBy("q", "doc_id", "size", "rid").rowsBetween(W.unboundedPreceding, 0))
+        part = cut.where("r = edge").withColumn("upto", upto).where("upto <= room").select("s", "rid", "size")
+        now = staged(whole.unionByName(part), "fits")
+        gap = gap.join(now.groupBy("s").agg(F.sum("size").alias("words")), "s", "left").select("s", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"))
+        free = free.drop("gap").join(now.select("rid"), "rid", "left_anti")
+        taken = now if taken is None else taken.unionByName(now)
+    return (free if taken is None else taken).select("s", "rid"), gap
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=(5, 2, 1), cap: int = 3, seed: str = "mix", share_col: str | None = None) -> DataFrame:
     """Copies of each document that a mix of sources takes.
 
@@ -52,13 +79,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     one more copy. Documents are ranked by Pareto order: odds of a random u,
     drawn from the id, over the odds of p; the lowest are taken while their words
     fit what the certain copies leave of the target. So the sample has a fixed
-    size in words, and its documents unequal probabilities. At most FILLS more
-    documents then fill the gap that the last one left, each the largest that
-    fits, and the last the one that ends nearest to the target.
+    size in words, and its documents unequal probabilities. FILLS more documents
+    then fill the gap that the last one left, each the largest that fits, and the
+    last the one that ends nearest to the target. Where that leaves a miss that a
+    whole document would fill, the source goes on down the Pareto order instead,
+    past those that don't fit, until none fits, if that ends nearer.
 
     Scale. One narrow table (no texts) is written; sizes are summed by score
     range, and rows are ranked in the one range in which a source's target falls,
-    so a hot source is never sorted in one task.
+    so a hot source is never sorted in one task. Going on takes a few rounds of the
+    same sums over the documents that still fit, in such sources only.
 
     Null texts have size 0 and a null source is a source. Rows that repeat an id
     draw the same u and are ranked by size after it. Runs agree. An empty table
@@ -89,7 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rest = d.where(~F.coalesce(on, F.lit(False))).withColumn("more", F.when(F.col("q").isNotNull() & (F.col("edge").isNull() | (F.col("r") < F.col("edge"))), 1).otherwise(0).cast("long"))
     d = staged(split.unionByName(rest), "chosen")
 
-    gap = d.groupBy("s").agg((F.first("left") - F.sum(F.col("more") * F.col("size"))).alias("gap"))
+    gap = sum_gap = staged(d.groupBy("s").agg((F.first("left") - F.sum(F.col("more") * F.col("size"))).alias("gap")), "gap")
     added = None
     for turn in range(FILLS):
         gap = staged(gap, "gap")
@@ -99,6 +129,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         best = staged(free.groupBy("s").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "q", "doc_id", "size", "rid")).alias("b")).select("s", F.col("b.rid").alias("rid"), F.col("b.size").alias("fit")), "best")
         gap = gap.join(best, "s", "left").select("s", (F.col("gap") - F.coalesce("fit", F.lit(0))).alias("gap"))
         added = best.select("rid") if added is None else added.unionByName(best.select("rid"))
+    added = staged(added, "added")
+
+    # sources that a document left out could still fill, or that overshot by one
+    gap = staged(gap, "gap")
+    free = d.where("q is not null and more = 0")
+    least = free.join(added, "rid", "left_anti").groupBy("s").agg(F.min("size").alias("least"))
+    short = staged(gap.join(least, "s").where("abs(gap) >= least").select("s", F.abs("gap").alias("miss")), "short")
+    if not short.isEmpty():
+        own = sum_gap.join(short, "s").select("s", "gap")
+        more, end = _fitting(free.join(short.select("s"), "s", "left_semi").select("s", "r", "q", "doc_id", "size", "rid"), own)
+        nearer = staged(end.join(short, "s").where("gap < miss").select("s"), "nearer")
+        kept = added.join(d.join(nearer, "s", "left_semi").select("rid"), "rid", "left_anti")
+        added = kept.unionByName(more.join(nearer, "s", "left_semi").select("rid"))
     d = d.join(added.withColumn("fill", F.lit(1)), "rid", "left")
     d = d.withColumn("copies", F.col("certain") + F.col("more") + F.coalesce("fill", F.lit(0)))
     return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

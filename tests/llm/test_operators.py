@@ -227,6 +227,27 @@ def test_mix(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mix_long_documents(spark):
+    """A long document that straddles a target leaves a gap that many short ones fill, down the Pareto order."""
+    r = random.Random(12)
+    sources = [x for x in "abc" for _ in range(600)]
+    sizes = [r.randint(5, 40) for _ in sources]
+    for x in "abc":
+        sources += [x] * 4
+        sizes += [3000] * 4
+    df = frame(spark, [" ".join(["w"] * n) for n in sizes], sources)
+    for seed in ("a", "b"):
+        per = {}
+        for x in mixing.mix(df, seed=seed, weights=(5, 2, 2)).collect():
+            t = per.setdefault(x["source"], [x["target"], 0, []])
+            t[1] += x["taken"]
+            t[2].append((x["copies"], x["size"]))
+        for target, taken, rows in per.values():
+            low = min(c for c, _ in rows)
+            left = [n for c, n in rows if c == low]
+            assert abs(target - taken) < min(left)
+
+
 def test_mix_unequal_shares(spark):
     """Inclusion follows the shares: over many seeds a share of 3 is taken three times as often."""
     rows = [(i, "w w w w", "s", 3.0 if i % 2 else 1.0) for i in range(40)] + [(100 + i, "w w w w", "t", 1.0) for i in range(40)]
