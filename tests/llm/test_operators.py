@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -350,6 +351,27 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0), "path").count() == 0
 
 
+def test_licenses_wrapped_and_whole(spark):
+    """Notices that wrap, stand behind comment marks or inside a longer line; whole licences; names in passing are none."""
+    prose = "some words of a text that goes on for a while about this and that " + " ".join(f"word{i}" for i in range(80))
+    grant, gpl, bsd = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["BSD-3-Clause"][0]
+
+    def wrapped(text, mark, width=72):
+        return "\n".join(f"{mark} {x}" for x in textwrap.wrap(text, width))
+
+    want = {
+        0: (f"import os\n{wrapped(grant, '#')}\n{prose}", "MIT", "header"), 1: (f"{prose}\n{wrapped(gpl, ' *')}\n{prose}", "GPL-3.0", "header"), 2: (f"{wrapped(bsd, '//', 60)}\n{prose}", "BSD-3-Clause", "header"),
+        3: (f"{prose} and is now much faster. Released under the MIT License. Thanks to all, {prose}", "MIT", "header"), 4: (f"{prose} the record was released under the same name {prose}", None, None),
+        5: ("\n".join([prose] * 5), None, None),
+    }
+    for k, (name, (text,)) in enumerate(licenses.full_texts().items(), 6):
+        want[k] = (text, name, "file")
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"} <= {x[1] for x in want.values()}
+    df = spark.createDataFrame([(k, f"p{k}/x.txt", t) for k, (t, _, _) in want.items()], "doc_id long, path string, text string")
+    got = {x["doc_id"]: (x["license"], x["origin"]) for x in licenses.scan_licenses(df, "path").collect()}
+    assert got == {k: (name, origin) for k, (_, name, origin) in want.items()}
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_pipeline(spark, sf):
     import corpus_pipeline
