@@ -158,33 +158,8 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(len(_SIG)))], ["doc_id", "tokens", *_SIG])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Exact similarity join of 5-word shingle sets, as components.
-
-    Returns (doc_id, n_shingles, component_id, set_id): the size of the set, the
-    smallest id reachable by links of Jaccard >= percent/100, and the smallest id
-    of those with the very same set. Ids are integers.
-
-    Method. Copies of a set are one class (a pre-aggregated group-by on a digest).
-    First order, by token hash: a class's prefix is long enough that linked
-    classes share `least_common` tokens of it; tokens found in one prefix only
-    drop out, and so do classes left with too few. Second order, by frequency
-    among those tokens, rarest first: linked classes share a token of the
-    shortened prefix. Candidates pass that order and the bounds on length and
-    signature before their sets are fetched; each pair must then share enough
-    prefix tokens under the hash order and under its reverse too, and only pairs
-    that all orders let through are verified in full. In the first rounds each list of
-    classes with a common token proposes links to a leader only; the classes so
-    linked need no further comparison, and the last round tries every pair in a
-    list that is still in different components, so no link between components
-    is lost and groups of copies never expand into all pairs.
-
-    Nulls: a null text has no shingles; rows with a null id come back as their
-    own component (null). Texts without words are linked with nothing. Rows that
-    repeat an id are one document if their sets are equal; otherwise each row is
-    compared and they meet in one component by their id. Other columns are
-    ignored. An empty table gives an empty table.
-    """
+def _candidates(docs: DataFrame, id_col: str, text_col: str, percent: int):
+    """What the join's outputs share: scanned rows, classes, the lists of classes by token, their signatures with the bounds on a pair, and the verification."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with arrow_rows(spark, 1000):
@@ -227,6 +202,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * ({differ}) <= {100 - percent} * (n + m)"
     marks = sets.select(F.col("doc_id").alias("cls"), *_SIG)
     far = [F.col(c).alias(f"z{c}") for c in _SIG]
+    return scan, classes, lists, marks, near, far, verified
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """Exact similarity join of 5-word shingle sets, as components.
+
+    Returns (doc_id, n_shingles, component_id, set_id): the size of the set, the
+    smallest id reachable by links of Jaccard >= percent/100, and the smallest id
+    of those with the very same set. Ids are integers.
+
+    Method. Copies of a set are one class (a pre-aggregated group-by on a digest).
+    First order, by token hash: a class's prefix is long enough that linked
+    classes share `least_common` tokens of it; tokens found in one prefix only
+    drop out, and so do classes left with too few. Second order, by frequency
+    among those tokens, rarest first: linked classes share a token of the
+    shortened prefix. Candidates pass that order and the bounds on length and
+    signature before their sets are fetched; each pair must then share enough
+    prefix tokens under the hash order and under its reverse too, and only pairs
+    that all orders let through are verified in full. In the first rounds each list of
+    classes with a common token proposes links to a leader only; the classes so
+    linked need no further comparison, and the last round tries every pair in a
+    list that is still in different components, so no link between components
+    is lost and groups of copies never expand into all pairs.
+
+    Nulls: a null text has no shingles; rows with a null id come back as their
+    own component (null). Texts without words are linked with nothing. Rows that
+    repeat an id are one document if their sets are equal; otherwise each row is
+    compared and they meet in one component by their id. Other columns are
+    ignored. An empty table gives an empty table.
+    """
+    scan, classes, lists, marks, near, far, verified = _candidates(docs, id_col, text_col, percent)
     comps = staged(lists.select("cls", F.col("cls").alias("comp")).distinct(), "comps")
     for turn in range(LEADER_ROUNDS + 1):
         open_ = lists.join(comps, "cls")
@@ -265,6 +271,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"))
 
 
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """Every link between different shingle sets: (a, b), a < b, the smallest ids that have the sets.
+
+    The join's own output; `set_id` of `jaccard_components` says which documents
+    stand behind an id. Every pair of a list that passes the bounds is verified,
+    with no leaders, so pairs within a component are all there: its cost grows
+    with the pairs of different near copies, not with equal ones. Two different
+    sets of one repeated id aren't a pair. An empty table gives an empty one.
+    """
+    _, _, lists, marks, near, far, verified = _candidates(docs, id_col, text_col, percent)
+    own = staged(lists.join(marks, "cls"), "open")
+    other = own.select("token", F.col("cls").alias("a"), F.col("n").alias("m"), *far)
+    return verified(own.join(other, "token").where(f"a < cls and {near}").select("a", F.col("cls").alias("b")).distinct()).distinct()
+
+
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Keep one document of each group of near copies: the one with the smallest id.
 

@@ -95,6 +95,31 @@ def test_jaccard(spark):
     assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted({i for i in top if top[i] == i})
 
 
+def test_jaccard_links(spark):
+    """All links between different sets come out, those within a component too; equal texts stand behind one id."""
+    r = random.Random(7)
+    base = [[f"w{r.randint(0, 400)}" for _ in range(160)] for _ in range(4)]
+    texts = []
+    for _ in range(40):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"n{r.randint(0, 9)}"
+        texts.append(" ".join(w))
+    texts += [texts[3], texts[9].upper(), None, ""]
+    sets, first = {}, {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        s = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        if s and s not in first:
+            first[s] = i
+            sets[i] = s
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    df = frame(spark, texts)
+    got = [(x["a"], x["b"]) for x in jaccard.jaccard_links(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(sets)
+    assert jaccard.jaccard_links(empty(spark)).count() == 0
+
+
 def test_jaccard_orders():
     """No linked pair is lost by the orders; unlike pairs with a common token mostly are."""
     r = np.random.default_rng(5)
