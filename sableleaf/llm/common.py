@@ -5,40 +5,46 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed value: the white space of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that an Arrow batch holds, about (one row at least).
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the one the session names in spark.checkpoint.dir.
 
-    It is the one the session names in spark.checkpoint.dir; only where that is
-    unset (tests, a single machine) is a temporary folder made for it.
+    Where that is unset a temporary folder is made for it, on a single machine
+    only: on a cluster every executor would write to its own disk.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sableleaf-")
         spark.conf.set("spark.checkpoint.dir", at)
         _drop_at_exit(spark, at)
     return at.rstrip("/")
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    def drop() -> None:
+    def last() -> None:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            drop(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone by now
             pass
 
-    atexit.register(drop)
+    atexit.register(last)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -48,6 +54,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    bound_batches(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -55,32 +67,46 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     and the reader knows the table's size, so Spark's own size check decides
     whether it is broadcast.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Staged tables that are deleted when the block ends, or before by `drop`.
+
+    What leaves the block must be staged by `staged`, outside of it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, new_path(spark, "scratch")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop(self.spark, self.root)
 
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        out = _written(df, path)
+        out._scratch = path
+        return out
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Bound the rows of an Arrow batch for the jobs run inside the block."""
-    before = spark.conf.get(_ARROW_ROWS)
-    spark.conf.set(_ARROW_ROWS, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_ARROW_ROWS, before)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this block that nothing reads any more."""
+        for x in tables:
+            if path := getattr(x, "_scratch", None):
+                drop(self.spark, path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the session's rows of an Arrow batch to `rows`, and leave them there.
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bound the bytes of the session's Arrow batches, rows being of any length; a lower bound stays.
 
-    Frames that an operator returns are run after the call, so a bound that holds
-    for a block only would be gone by then. A lower setting stays as it is.
+    Frames that an operator returns are run after the call, so the bound can't
+    hold for a block only. It changes no result.
     """
-    now = int(spark.conf.get(_ARROW_ROWS))
-    if now <= 0 or now > rows:
-        spark.conf.set(_ARROW_ROWS, str(rows))
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_ARROW_BYTES))
+    if now > size:
+        spark.conf.set(_ARROW_BYTES, str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

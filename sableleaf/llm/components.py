@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch, staged
 
 
 def _print(edges: DataFrame):
@@ -18,24 +18,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """Smallest node reachable from each node that has an edge: (node, component).
 
     Alternates large-star and small-star rounds until no edge changes. Each round
-    is written to the shared folder. A node's edges are met by the minimum over
-    its neighbours, which is pre-aggregated, and by a join that Spark can split,
-    so a hub is never gathered in one task. Self links and null ends are left
-    out; repeated and reversed edges count once; without edges the result is
-    empty.
+    is written to the shared folder, the one before it deleted. A node's edges are
+    met by the minimum over its neighbours, which is pre-aggregated, and by a join
+    that Spark can split, so a hub is never gathered in one task. Self links and
+    null ends are left out; repeated and reversed edges count once; without edges
+    the result is empty.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    e = staged(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        # a node that is itself the minimum keeps its larger neighbours: v -> m = u
-        large = staged(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        after = staged(small.distinct(), "small")
-        if _print(after) == _print(e):
-            break
-        e = after
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with Scratch(edges.sparkSession) as tmp:
+        e = tmp.staged(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before = _print(e)
+        while True:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+            large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            # a node that is itself the minimum keeps its larger neighbours: v -> m = u
+            large = tmp.staged(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large")
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+            after = tmp.staged(small.distinct(), "small")
+            tmp.drop(e, large)
+            e, last, before = after, before, _print(after)
+            if before == last:
+                break
+        out = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+        return staged(out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")

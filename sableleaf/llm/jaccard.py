@@ -5,20 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, staged
+from .common import Scratch, bound_batches, staged
 from .components import connected_components
-from .words import shingle_sets, slices
-
-#: Postings that one bucket of tokens is meant to hold.
-BUCKET_POSTINGS = 500_000
-#: Bits of a set's signature: the parity of its tokens by hash.
-SIGNATURE = 1024
-#: Rounds in which each list links its members to one leader only, before the
-#: links still open are tried one by one.
+from .words import ragged, shingle_sets, slices
+
+#: Rounds in which a list's members meet one leader each, before leaders are taken off the lists.
 LEADER_ROUNDS = 2
+#: The leaders of a list in the rounds after those: so many times the round before.
+MORE_LEADERS = 4
 
 
 def least_overlap(n, percent: int):
@@ -26,20 +23,19 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def least_common(n, percent: int):
-    """Tokens of a prefix that a set of n shares with any partner's prefix, at the least.
+def prefix(tokens: np.ndarray, percent: int, more: int = 1) -> np.ndarray:
+    """The first tokens under an order: linked sets share `more` of them at the least."""
+    n = len(tokens)
+    return tokens[: n - int(least_overlap(n, percent)) + more] if n else tokens
 
-    A prefix holds n - least_overlap(n) + max(1, n // 10) tokens, so a pair shares
-    the smaller of both sides' max(1, n // 10); a partner has percent of n tokens
-    at the least.
-    """
-    return np.maximum(1, least_overlap(n, percent) // 10)
 
+def _spare(n: int) -> int:
+    """Tokens of the long prefix by hash that a linked set shares, at the least, with every partner's.
 
-def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix under the first order, by hash: tokens are sorted hashes."""
-    n = len(tokens)
-    return tokens[: n - int(least_overlap(n, percent)) + max(1, n // 10)] if n else tokens
+    A partner has 80 % (or the given share) of the tokens at the least, so both
+    sides' prefixes are this much longer than needed for one.
+    """
+    return max(1, n // 10)
 
 
 def _scan(percent: int):
@@ -47,13 +43,12 @@ def _scan(percent: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"))
-                own = [s.tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s) if s else None for s in own], pa.binary()),
-                        pa.array([prefix(s, percent).tobytes() for s in sets], pa.binary()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        ragged([prefix(s, percent, _spare(len(s))) for s in sets], pa.int64()),
                     ],
                     ["doc_id", "n_shingles", "set_key", "prefix"],
                 )
@@ -61,148 +56,88 @@ def _scan(percent: int):
     return run
 
 
-def _scatter(buckets: int):
-    """Pack the prefixes of a batch by token bucket: one row per bucket, not per token."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token = [np.frombuffer(p.as_py(), np.uint64) for p in batch.column("tokens")]
-            size = np.array([len(t) for t in token])
-            token = np.concatenate(token)
-            doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-            where = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            token, doc = token[order], doc[order]
-            cut = np.searchsorted(where[order], np.arange(buckets + 1))
-            ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
-            full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array([token[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([ids[doc[cut[b] : cut[b + 1]]].tobytes() for b in full], pa.binary())],
-                ["bucket", "token", "doc"],
-            )
-
-    return run
-
-
-def _common(group: pa.Table):
-    """The tokens of one bucket that at least two sets have: (document, token, frequency)."""
-    token = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in group.column("token")])
-    doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group.column("doc")])
-    _, back, count = np.unique(token, return_inverse=True, return_counts=True)
-    df = count[back]
-    many = df > 1
-    return doc[many], token[many].view(np.int64), df[many]
-
+def marks(tokens: np.ndarray) -> np.ndarray:
+    """32-bit marks of tokens: equal tokens have equal marks."""
+    return (tokens >> np.uint64(7)).astype(np.uint32)
 
-def _shared_docs(group: pa.Table) -> pa.Table:
-    """A row for each posting, so that the rows don't depend on the number of buckets."""
-    return pa.table({"doc": pa.array(_common(group)[0], pa.int64())})
 
+def _sets(percent: int):
+    """Whole sets of the rows whose set is their class's, and marks of their prefixes by hash, lowest and highest first."""
 
-def _shared_tokens(group: pa.Table) -> pa.Table:
-    return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("doc", "token", "df"), _common(group), strict=True)})
-
-
-def shared(x: np.ndarray, y: np.ndarray) -> int:
-    """Tokens that two sorted sets have in common."""
-    if not len(x) or not len(y):
-        return 0
-    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
-
-
-def passes_orders(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether a pair shares enough prefix tokens under the hash order and under its reverse.
-
-    Linked sets always do, by the same count as in `least_common`.
-    """
-    need = max(1, min(len(x), len(y)) // 10)
-    a, b = len(prefix(x, percent)), len(prefix(y, percent))
-    return shared(x[:a], y[:b]) >= need and shared(x[len(x) - a :], y[len(y) - b :]) >= need
-
-
-def _verify(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if not passes_orders(x, y, percent):
-                    continue
-                common = shared(x, y)
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column("text"))
+                own = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == k.as_py() for s, k in zip(sets, part.column("set_key"), strict=True)], pa.bool_())
+                rows = [part.column("cls"), pa.array([len(s) for s in sets], pa.int32()), part.column("copies"), part.column("set_key"), ragged(sets, pa.int64()), ragged([marks(prefix(s, percent)) for s in sets], pa.int32()), ragged([marks(prefix(s[::-1], percent)) for s in sets], pa.int32())]
+                yield pa.RecordBatch.from_arrays(rows, ["cls", "n", "copies", "set_key", "tokens", "low", "high"]).filter(own)
 
     return run
 
 
-_SIG = [f"s{k}" for k in range(SIGNATURE // 64)]
+def _common(postings: DataFrame) -> DataFrame:
+    """Postings (token, ...) whose token another set has too, with the sets that have it (df).
 
-
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens that fall on each bit, as 64-bit words.
-
-    Two sets differ in at least as many tokens as their signatures do in bits.
+    Counts are combined before they move, and the join splits a hot token.
     """
-    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _sets(batches):
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = shingle_sets(part.column("text"))
-            sig = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, len(_SIG)), np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(len(_SIG)))], ["doc_id", "tokens", *_SIG])
-
-
-def _candidates(docs: DataFrame, id_col: str, text_col: str, percent: int):
-    """What the join's outputs share: scanned rows, classes, the lists of classes by token, their signatures with the bounds on a pair, and the verification."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    with arrow_rows(spark, 1000):
-        scan = staged(docs.mapInArrow(_scan(percent), "doc_id long, n_shingles long, set_key binary, prefix binary"), "shingles")
-    full = scan.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(full.groupBy("set_key").agg(F.min("doc_id").alias("cls"), F.min("n_shingles").alias("n"), F.first("prefix").alias("prefix")), "classes")
-
-    def by_token(sets: DataFrame, work, schema: str) -> DataFrame:
-        """Deal (doc_id, tokens) out by token and run `work` on each bucket."""
-        postings = sets.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
-        buckets = max(int(postings // BUCKET_POSTINGS) + 1, 2 * spark.sparkContext.defaultParallelism)
-        packed = sets.mapInArrow(_scatter(buckets), "bucket int, token binary, doc binary")
-        return packed.groupBy("bucket").applyInArrow(work, schema)
-
-    # first order, by hash: documents with enough common tokens in their prefix
-    with arrow_rows(spark, 2000):
-        counts = by_token(classes.select(F.col("cls").alias("doc_id"), F.col("prefix").alias("tokens")), _shared_docs, "doc long")
-        common = counts.groupBy(F.col("doc").alias("cls")).agg(F.count("*").alias("k")).join(classes.select("cls", "n"), "cls")
-        least = F.greatest(F.lit(1), F.expr(f"int(ceil({percent} * n / 100)) div 10"))
-        able = staged(common.where(F.col("k") >= least).select("cls", "n"), "able")
-    with arrow_rows(spark, 1000):
-        sets = staged(docs.join(able.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, tokens binary, " + ", ".join(f"{c} long" for c in _SIG)).distinct(), "sets")
-
-    # second order, by frequency among those: the rarest tokens of the documents that
-    # have enough tokens in common with others at all
-    with arrow_rows(spark, 500):
-        again = staged(by_token(sets.select("doc_id", "tokens"), _shared_tokens, "doc long, token long, df long"), "shared")
-    least = F.expr(f"int(ceil({percent} * n / 100))")
-    lists = again.groupBy(F.col("doc").alias("cls")).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own")).join(able, "cls").where(F.size("own") >= least)
-    lists = staged(lists.select("cls", "n", F.explode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("x")).select("cls", "n", F.col("x.token").alias("token")), "lists")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("set_b")), "b")
-        both = b.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("set_a")), "a")
-        with arrow_rows(spark, 200):
-            return staged(both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"), "links")
-
-    # tokens in which a linked pair differs are at most the bound; their signatures differ in no more bits
-    differ = " + ".join(f"bit_count({c} ^ z{c})" for c in _SIG)
-    near = f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * ({differ}) <= {100 - percent} * (n + m)"
-    marks = sets.select(F.col("doc_id").alias("cls"), *_SIG)
-    far = [F.col(c).alias(f"z{c}") for c in _SIG]
-    return scan, classes, lists, marks, near, far, verified
+    many = postings.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    return postings.join(many, "token")
+
+
+def _least(percent: int) -> Column:
+    return F.expr(f"int(ceil({percent} * n / 100))")
+
+
+class _Join:
+    """The join's tables: scanned rows, classes of equal sets, whole sets, and lists of classes by token."""
+
+    def __init__(self, tmp: Scratch, docs: DataFrame, id_col: str, text_col: str, percent: int):
+        self.tmp, self.percent = tmp, percent
+        bound_batches(docs.sparkSession)
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        self.scan = tmp.staged(docs.mapInArrow(_scan(percent), "doc_id long, n_shingles long, set_key binary, prefix array<bigint>"), "shingles")
+        full = self.scan.where("n_shingles > 0 and doc_id is not null")
+        rows = full.groupBy("set_key", "doc_id").agg(F.count("*").alias("copies"))
+        firsts = rows.groupBy("set_key").agg(F.min(F.struct("doc_id", "copies")).alias("x")).select("set_key", F.col("x.doc_id").alias("cls"), F.col("x.copies").alias("copies"))
+        self.classes = tmp.staged(firsts, "classes")
+
+        # the order by hash, on documents: those whose long prefix shares enough tokens with others' stay
+        own = full.select("set_key", F.col("doc_id").alias("cls"), F.col("n_shingles").cast("int").alias("n"), "prefix").join(self.classes, ["set_key", "cls"])
+        lone = own.where("copies = 1").unionByName(own.where("copies > 1").dropDuplicates(["cls", "set_key"]))
+        hits = _common(lone.select("cls", "n", F.explode("prefix").alias("token"))).groupBy("cls", "n").agg(F.count("*").alias("k"))
+        able = hits.where(F.col("k") >= F.greatest(F.lit(1), F.floor(_least(percent) / 10))).select("cls").distinct()
+        able = tmp.staged(able.join(self.classes, "cls"), "able")
+        kept = docs.join(able, docs["doc_id"] == able["cls"]).select("cls", "copies", "set_key", "text")
+        kept = kept.mapInArrow(_sets(percent), "cls bigint, n int, copies bigint, set_key binary, tokens array<bigint>, low array<int>, high array<int>")
+        self.sets = tmp.staged(kept, "sets")
+        if not self.sets.where("copies > 1").isEmpty():  # rows that repeat id and text
+            self.sets = tmp.staged(self.sets.where("copies = 1").unionByName(self.sets.where("copies > 1").dropDuplicates(["cls", "set_key"])), "sets_once")
+
+        # the order by frequency, rarest first: tokens of one set only lead it and can't be shared
+        shared = _common(self.sets.select("cls", "n", F.explode("tokens").alias("token")))
+        lists = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own")).where(F.size("own") >= _least(percent))
+        lists = lists.select("cls", "n", F.explode(F.slice("own", F.lit(1), F.size("own") - _least(percent) + 1)).alias("x"))
+        self.lists = tmp.staged(lists.select("cls", "n", F.col("x.token").alias("token")), "lists")
+
+    def fits(self) -> str:
+        """Sizes (n, m) of a pair that could link."""
+        return f"100 * least(n, m) >= {self.percent} * greatest(n, m)"
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), of classes with a common token under the order by frequency, that are links.
+
+        Both orders by hash are intersected with that one on narrow rows, the
+        marks of the prefixes; whole sets are fetched for the pairs that are left.
+        """
+        tmp = self.tmp
+        of = lambda end, *cols: self.sets.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in cols))
+        passed = pairs.join(of("b", "low", "high"), "b").join(of("a", "low", "high"), "a").where(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b"))
+        passed = tmp.staged(passed.select("a", "b"), "passed")
+        both = passed.join(of("b", "tokens"), "b").join(of("a", "tokens"), "a")
+        both = both.select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("c"), (F.size("tokens_a") + F.size("tokens_b")).alias("total"))
+        out = tmp.staged(both.where(f"100 * c >= {self.percent} * (total - c)").select("a", "b"), "links")
+        tmp.drop(passed)
+        return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -213,62 +148,75 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of those with the very same set. Ids are integers.
 
     Method. Copies of a set are one class (a pre-aggregated group-by on a digest).
-    First order, by token hash: a class's prefix is long enough that linked
-    classes share `least_common` tokens of it; tokens found in one prefix only
-    drop out, and so do classes left with too few. Second order, by frequency
-    among those tokens, rarest first: linked classes share a token of the
-    shortened prefix. Candidates pass that order and the bounds on length and
-    signature before their sets are fetched; each pair must then share enough
-    prefix tokens under the hash order and under its reverse too, and only pairs
-    that all orders let through are verified in full. In the first rounds each list of
-    classes with a common token proposes links to a leader only; the classes so
-    linked need no further comparison, and the last round tries every pair in a
-    list that is still in different components, so no link between components
-    is lost and groups of copies never expand into all pairs.
-
-    Nulls: a null text has no shingles; rows with a null id come back as their
-    own component (null). Texts without words are linked with nothing. Rows that
-    repeat an id are one document if their sets are equal; otherwise each row is
-    compared and they meet in one component by their id. Other columns are
-    ignored. An empty table gives an empty table.
+    Linked sets share a token of their prefixes under any order of all tokens;
+    three are used. By hash, on documents: tokens in one long prefix only drop
+    out, and so do classes with too few others. By frequency, rarest first: a
+    pair is a candidate if it shares a token of that prefix. By hash and by hash
+    in reverse, on pairs: a candidate must share a prefix token in both, before
+    its sets are fetched and compared in full.
+
+    A list holds the classes with one token in their frequency prefix. In two
+    rounds each list proposes links to one leader, which joins most of a group of
+    copies; then lists still in different components meet more and more leaders,
+    four times as many each round, and a leader that its list has met is taken
+    off it. A list is done when one component is left in it, so no link between
+    components is lost, and groups of copies never expand into all pairs.
+
+    Nulls: a null text has no shingles; rows with a null id come back with a null
+    component. Texts without words are linked with nothing. Rows that repeat an
+    id are one document if their sets are equal; otherwise each row is compared
+    and they meet in one component by their id. Other columns are ignored. An
+    empty table gives an empty table.
     """
-    scan, classes, lists, marks, near, far, verified = _candidates(docs, id_col, text_col, percent)
-    comps = staged(lists.select("cls", F.col("cls").alias("comp")).distinct(), "comps")
-    for turn in range(LEADER_ROUNDS + 1):
-        open_ = lists.join(comps, "cls")
-        # lists whose members are still in different components
-        mixed = open_.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        open_ = staged(open_.join(mixed, "token").join(marks, "cls"), "open")
-        if open_.isEmpty():
-            break
-        if turn < LEADER_ROUNDS:
-            first = F.struct("cls") if not turn else F.struct(F.xxhash64("cls", F.lit(turn)), "cls")
-            lead = open_.groupBy("token").agg(F.min(first)["cls"].alias("cls"))
-            lead = lead.join(open_.select("cls", "n", "comp", *_SIG).distinct(), "cls").select("token", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), *far)
-            pairs = open_.join(lead, "token").where(f"comp <> c and {near}")
-            pairs = pairs.groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a"))
-        else:
-            other = open_.select("token", F.col("cls").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), *far)
-            pairs = open_.join(other, "token").where(f"c < comp and {near}").select("a", F.col("cls").alias("b")).distinct()
-        found = verified(pairs)
-        if found.isEmpty():
-            if turn == LEADER_ROUNDS:
+    with Scratch(docs.sparkSession) as tmp:
+        j = _Join(tmp, docs, id_col, text_col, percent)
+        lists, turn, leaders = j.lists, 0, 1
+        comps = tmp.staged(lists.select("cls", F.col("cls").alias("comp")).distinct(), "comps")
+        while True:
+            open_ = lists.select("cls", "n", "token").join(comps, "cls")
+            # lists whose members are still in different components
+            mixed = open_.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("token")
+            open_ = tmp.staged(open_.join(mixed, "token"), "open")
+            tmp.drop(lists)
+            if open_.isEmpty():
                 break
-            continue
-        # only components that a link joins are renamed
-        named = comps.select(F.col("cls").alias("a"), F.col("comp").alias("u"))
-        ends = found.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-        comps = staged(comps.join(connected_components(ends), F.col("comp") == F.col("node"), "left").select("cls", F.coalesce("component", "comp").alias("comp")), "comps")
-
-    # from classes back to documents; a repeated id ties its rows together
-    out = scan.select("doc_id", "n_shingles", "set_key")
-    by_set = classes.select("set_key", "cls").join(comps, "cls", "left").select("set_key", F.col("cls").alias("set_id"), F.coalesce("comp", "cls").alias("comp"))
-    out = staged(out.join(by_set, "set_key", "left"), "members")
+            one = turn < LEADER_ROUNDS
+            rank = F.struct("cls", "n", "comp") if not turn else F.struct(F.xxhash64("cls", F.lit(turn)), "cls", "n", "comp")
+            lead = open_.groupBy("token", F.pmod(F.xxhash64("cls"), F.lit(leaders)).alias("place")).agg(F.min(rank).alias("x"))
+            lead = lead.select("token", F.col("x.cls").alias("a"), F.col("x.n").alias("m"), F.col("x.comp").alias("c"))
+            pairs = open_.join(lead, "token").where(f"comp <> c and {j.fits()}")
+            if one:
+                pairs = pairs.groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a"))
+            else:
+                pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+            found = j.linked(pairs)
+            if one:
+                lists = open_
+            else:
+                lists = tmp.staged(open_.join(lead.select("token", F.col("a").alias("cls")), ["token", "cls"], "left_anti"), "lists")
+                tmp.drop(open_)
+                leaders *= MORE_LEADERS
+            turn += 1
+            if not found.isEmpty():
+                # only components that a link joins are renamed
+                named = comps.select(F.col("cls").alias("a"), F.col("comp").alias("u"))
+                ends = found.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+                now = tmp.staged(comps.join(connected_components(ends), F.col("comp") == F.col("node"), "left").select("cls", F.coalesce("component", "comp").alias("comp")), "comps")
+                tmp.drop(comps)
+                comps = now
+            tmp.drop(found)
+
+        # from classes back to documents; a repeated id ties its rows together
+        joined = j.classes.join(comps, "cls", "left").select("set_key", F.col("cls").alias("set_id"), F.coalesce("comp", "cls").alias("comp"))
+        full = F.expr("n_shingles > 0 and doc_id is not null")
+        out = j.scan.where(full).select("doc_id", "n_shingles", "set_key").join(joined, "set_key").select("doc_id", "n_shingles", "set_id", "comp")
+        bare = j.scan.where(~full).select("doc_id", "n_shingles", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("comp"))
+        out = staged(out.unionByName(bare), "members")
     twice = out.where("comp is not null").groupBy("doc_id").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
     if not twice.isEmpty():
-        ties = connected_components(out.where("comp is not null").join(twice, "doc_id").select(F.col("comp").alias("a"), F.col("x").alias("b")))
+        ties = connected_components(out.join(twice, "doc_id").select(F.col("comp").alias("a"), F.col("x").alias("b")))
         out = out.join(ties, out["comp"] == ties["node"], "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "comp").alias("comp"))
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"))
+    return out.select("doc_id", "n_shingles", F.col("comp").alias("component_id"), "set_id")
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -280,10 +228,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with the pairs of different near copies, not with equal ones. Two different
     sets of one repeated id aren't a pair. An empty table gives an empty one.
     """
-    _, _, lists, marks, near, far, verified = _candidates(docs, id_col, text_col, percent)
-    own = staged(lists.join(marks, "cls"), "open")
-    other = own.select("token", F.col("cls").alias("a"), F.col("n").alias("m"), *far)
-    return verified(own.join(other, "token").where(f"a < cls and {near}").select("a", F.col("cls").alias("b")).distinct()).distinct()
+    with Scratch(docs.sparkSession) as tmp:
+        j = _Join(tmp, docs, id_col, text_col, percent)
+        other = j.lists.select("token", F.col("cls").alias("a"), F.col("n").alias("m"))
+        pairs = j.lists.join(other, "token").where(f"a < cls and {j.fits()}").select("a", F.col("cls").alias("b")).distinct()
+        return staged(j.linked(pairs), "links")
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

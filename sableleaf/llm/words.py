@@ -171,6 +171,13 @@ def repeated_words(w: Words) -> np.ndarray:
     return inside[w.first[1:]] - inside[w.first[:-1]]
 
 
+def ragged(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A column of arrays."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(kind.to_pandas_dtype()) if flat.itemsize == kind.bit_width // 8 else flat.astype(kind.to_pandas_dtype())))
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
     """Cut a batch into runs of rows whose texts take about `size` bytes."""
     _, at = raw(batch.column(column))
