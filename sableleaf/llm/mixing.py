@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, staged
+from .common import WORD, Scratch, staged
 
 #: Score ranges in which a source's sizes are summed before single rows are ranked.
 RANGES = 4096
-#: Documents that first try to fill a source, after the sample.
-FILLS = 5
 
 
 def word_count(text: Column) -> Column:
@@ -42,125 +43,114 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
     return s.withColumn("target", F.when(full, F.col("most").cast("double")).otherwise(F.col("level.left").cast("double") * F.col("w") / F.col("level.rest"))).select("source", "source_size", "target")
 
 
-def _fitting(free: DataFrame, gap: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents (s, rid) taken down the Pareto order wherever they fit the gap, and the gaps (s, gap) left.
+def rates(groups: DataFrame, cap: int) -> DataFrame:
+    """Expected copies `e` of a word of each (s, share), so that a source's words come to its target.
 
-    Each round takes the longest run of documents that fit together, then leaves
-    out those larger than what is left: the gap falls below the size of the one
-    that ended the run, so the rounds are few.
+    `groups` has (s, share, words, target), a row for each share of a source. e is
+    proportional to the share, but `cap` at the most; what capped shares can't
+    take goes to the others: shares are full, the largest first, up to the first
+    that the rest's rate doesn't fill. A source's distinct shares are ranked in one
+    task.
+    """
+    down = W.partitionBy("s").orderBy(F.col("share").desc())
+    before, rest = down.rowsBetween(W.unboundedPreceding, -1), down.rowsBetween(0, W.unboundedFollowing)
+    g = groups.withColumn("left", F.col("target") - cap * F.coalesce(F.sum("words").over(before), F.lit(0)))
+    g = g.withColumn("weight", F.sum(F.col("share") * F.col("words")).over(rest).cast("double"))
+    g = g.withColumn("rate", F.when(F.col("weight") > 0, F.col("left") / F.col("weight")))
+    open_ = F.col("rate") * F.col("share").cast("double") <= cap
+    rate = F.max_by(F.when(open_, F.col("rate")), F.when(open_, F.col("share"))).over(W.partitionBy("s"))
+    e = F.when(F.col("share") > 0, F.coalesce(F.least(F.lit(float(cap)), rate * F.col("share").cast("double")), F.lit(float(cap)))).otherwise(0.0)
+    return g.select("s", "share", e.alias("e"))
+
+
+def _fitting(tmp: Scratch, free: DataFrame, gap: DataFrame) -> list[DataFrame]:
+    """The documents taken down the Pareto order wherever they fit what their source still lacks (s, gap).
+
+    The same as going through them one by one. Each round marks (`fits`) the
+    longest run that fits together, summed by range first, then leaves out those
+    larger than what is left: the gap falls below the size of the one that ended
+    the run, so the rounds are few. Returns a table of (rid) for each round.
     """
-    taken = None
+    taken = []
     while True:
-        gap = staged(gap, "gap")
-        free = staged(free.join(gap, "s").where("size <= gap"), "fitting")
-        if free.isEmpty():
-            break
+        free = free.join(gap, "s").where("size <= gap")
         runs = free.groupBy("s", "r").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
         runs = runs.withColumn("upto", F.sum("words").over(W.partitionBy("s").orderBy("r")))
         edge = runs.where("upto > gap").groupBy("s").agg(F.min(F.struct("r", (F.col("gap") - F.col("upto") + F.col("words")).alias("room"))).alias("x")).select("s", F.col("x.r").alias("edge"), "x.room")
-        cut = free.join(staged(edge, "edge"), "s", "left")
-        whole = cut.where("edge is null or r < edge").select("s", "rid", "size")
+        cut = free.join(edge, "s", "left")
+        on = F.col("edge").isNotNull() & (F.col("r") == F.col("edge"))
         upto = F.sum("size").over(W.partitionBy("s").orderBy("q", "doc_id", "size", "rid").rowsBetween(W.unboundedPreceding, 0))
-        part = cut.where("r = edge").withColumn("upto", upto).where("upto <= room").select("s", "rid", "size")
-        now = staged(whole.unionByName(part), "fits")
-        gap = gap.join(now.groupBy("s").agg(F.sum("size").alias("words")), "s", "left").select("s", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"))
-        free = free.drop("gap").join(now.select("rid"), "rid", "left_anti")
-        taken = now if taken is None else taken.unionByName(now)
-    return (free if taken is None else taken).select("s", "rid"), gap
+        inside = cut.where(on).withColumn("fits", upto <= F.col("room"))
+        state = tmp.staged(cut.where(~on).withColumn("fits", F.col("edge").isNull() | (F.col("r") < F.col("edge"))).unionByName(inside).drop("edge", "room"), "fitting")
+        if state.isEmpty():
+            return taken
+        taken.append(state.where("fits").select("rid"))
+        gap = state.groupBy("s").agg((F.first("gap") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
+        free = state.where("not fits").drop("gap", "fits")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=(5, 2, 1), cap: int = 3, seed: str = "mix", share_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=(5, 2, 1), cap: int = 3, seed: str = "mix", share_col: str | None = None, share_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """Copies of each document that a mix of sources takes.
 
     Returns (doc_id, source, size, source_size, target, copies, taken); `size` is
-    the number of words. Within a source a document is to be taken target *
-    share / sum(share * size) times (share: `share_col`, or 1 for all). The whole
-    part, up to `cap`, is certain; the fraction p is the inclusion probability of
-    one more copy. Documents are ranked by Pareto order: odds of a random u,
-    drawn from the id, over the odds of p; the lowest are taken while their words
-    fit what the certain copies leave of the target. So the sample has a fixed
-    size in words, and its documents unequal probabilities. FILLS more documents
-    then fill the gap that the last one left, each the largest that fits, and the
-    last the one that ends nearest to the target. Where that leaves a miss that a
-    whole document would fill, the source goes on down the Pareto order instead,
-    past those that don't fit, until none fits, if that ends nearer.
+    the number of words. Within a source a document is to be taken a number of
+    times e that goes by its share (`share_col`, or `share_of` its size, or 1 for
+    all; six decimals), `cap` at the most, so that the words come to the target
+    (`rates`). The whole part of e is certain; the fraction p is the inclusion
+    probability of one more copy. Documents are ranked by Pareto order: odds of a
+    random u, drawn from the id, over the odds of p; down this order each is taken
+    whose words fit what its source still lacks. So the sample has a fixed size in
+    words, its documents unequal probabilities, and the source misses its target
+    by less than the smallest document left over.
 
     Scale. One narrow table (no texts) is written; sizes are summed by score
     range, and rows are ranked in the one range in which a source's target falls,
-    so a hot source is never sorted in one task. Going on takes a few rounds of the
-    same sums over the documents that still fit, in such sources only.
+    so a hot source is never sorted in one task.
 
-    Null texts have size 0 and a null source is a source. Rows that repeat an id
-    draw the same u and are ranked by size after it. Runs agree. An empty table
-    gives an empty one; other columns are ignored.
+    Null texts have size 0 and are taken as often as is certain, and a null source
+    is a source; a null or negative share is 0. Rows that repeat an id draw the
+    same u and are ranked by size after it. Runs agree. An empty table gives an
+    empty one; other columns are ignored.
     """
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    share = F.col(share_col).cast("double") if share_col else F.lit(1.0)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), u.alias("u"), F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)).alias("share"), F.monotonically_increasing_id().alias("rid"))
-    d = staged(d.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "sizes")
-    sums = d.groupBy("s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.col("share") * F.col("size")).alias("shares"))
-    goal = staged(targets(sums.select("source", "source_size"), weights, cap).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source").join(sums.select("s", "shares"), "s"), "targets")
-
-    d = d.join(goal, "s").withColumn("e", F.when(F.col("shares") > 0, F.col("target") * F.col("share") / F.col("shares")).otherwise(0.0))
-    d = d.withColumn("certain", F.least(F.lit(cap), F.floor("e")).cast("long")).withColumn("p", F.when(F.col("certain") < cap, F.col("e") - F.col("certain")).otherwise(0.0))
-    may = (F.col("p") > 0) & (F.col("size") > 0)
-    d = d.withColumn("q", F.when(may, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-    d = staged(d.withColumn("r", F.floor(F.col("q") / (1 + F.col("q")) * RANGES)), "ranked")
-
-    left = d.groupBy("s").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("left"))
-    runs = d.where("q is not null").groupBy("s", "r").agg(F.sum("size").alias("words")).join(left, "s")
-    runs = runs.withColumn("upto", F.sum("words").over(W.partitionBy("s").orderBy("r")))
-    edge = staged(left.join(runs.where("upto > left").groupBy("s").agg(F.min(F.struct("r", (F.col("left") - F.col("upto") + F.col("words")).alias("room"))).alias("x")), "s", "left").select("s", "left", "x.r", "x.room").withColumnRenamed("r", "edge"), "edge")
-
-    d = d.join(edge, "s")
-    on = F.col("q").isNotNull() & F.col("edge").isNotNull() & (F.col("r") == F.col("edge"))
-    rank = W.partitionBy("s").orderBy("q", "doc_id", "size", "rid")
-    split = d.where(on).withColumn("more", (F.sum("size").over(rank.rowsBetween(W.unboundedPreceding, 0)) <= F.col("room")).cast("long"))
-    rest = d.where(~F.coalesce(on, F.lit(False))).withColumn("more", F.when(F.col("q").isNotNull() & (F.col("edge").isNull() | (F.col("r") < F.col("edge"))), 1).otherwise(0).cast("long"))
-    d = staged(split.unionByName(rest), "chosen")
-
-    gap = sum_gap = staged(d.groupBy("s").agg((F.first("left") - F.sum(F.col("more") * F.col("size"))).alias("gap")), "gap")
-    added = None
-    for turn in range(FILLS):
-        gap = staged(gap, "gap")
-        free = d.where("q is not null and more = 0").join(gap, "s").where("size <= gap" if turn < FILLS - 1 else "size < 2 * gap")
-        if added is not None:
-            free = free.join(added, "rid", "left_anti")
-        best = staged(free.groupBy("s").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "q", "doc_id", "size", "rid")).alias("b")).select("s", F.col("b.rid").alias("rid"), F.col("b.size").alias("fit")), "best")
-        gap = gap.join(best, "s", "left").select("s", (F.col("gap") - F.coalesce("fit", F.lit(0))).alias("gap"))
-        added = best.select("rid") if added is None else added.unionByName(best.select("rid"))
-    added = staged(added, "added")
-
-    # sources that a document left out could still fill, or that overshot by one
-    gap = staged(gap, "gap")
-    free = d.where("q is not null and more = 0")
-    least = free.join(added, "rid", "left_anti").groupBy("s").agg(F.min("size").alias("least"))
-    short = staged(gap.join(least, "s").where("abs(gap) >= least").select("s", F.abs("gap").alias("miss")), "short")
-    if not short.isEmpty():
-        own = sum_gap.join(short, "s").select("s", "gap")
-        more, end = _fitting(free.join(short.select("s"), "s", "left_semi").select("s", "r", "q", "doc_id", "size", "rid"), own)
-        nearer = staged(end.join(short, "s").where("gap < miss").select("s"), "nearer")
-        kept = added.join(d.join(nearer, "s", "left_semi").select("rid"), "rid", "left_anti")
-        added = kept.unionByName(more.join(nearer, "s", "left_semi").select("rid"))
-    d = d.join(added.withColumn("fill", F.lit(1)), "rid", "left")
-    d = d.withColumn("copies", F.col("certain") + F.col("more") + F.coalesce("fill", F.lit(0)))
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    source = F.col(source_col).cast("string")
+    own = F.col(share_col) if share_col else F.lit(1)
+    d = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), word_count(F.col(text_col)).alias("size"), u.alias("u"), own.alias("share"), F.monotonically_increasing_id().alias("rid"))
+    share = (share_of(F.col("size")) if share_of else F.col("share")).cast("decimal(18,6)")
+    d = d.withColumn("share", F.greatest(F.coalesce(share, F.lit(0)), F.lit(0)).cast("decimal(18,6)")).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    with Scratch(docs.sparkSession) as tmp:
+        d = tmp.staged(d, "sizes")
+        sums = tmp.staged(d.groupBy("s", "share").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "sums")
+        goal = targets(sums.groupBy("s").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")).select("source", "source_size"), weights, cap)
+        goal = goal.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+        rate = rates(sums.select("s", "share", "words").join(goal.select("s", "target"), "s"), cap)
+        rate = tmp.staged(rate.join(goal, "s"), "rates")  # a row for each share of a source
+        d = d.join(rate, ["s", "share"])
+        d = d.withColumn("certain", F.floor("e").cast("long")).withColumn("p", F.when(F.col("certain") < cap, F.col("e") - F.col("certain")).otherwise(0.0))
+        may = (F.col("p") > 0) & (F.col("size") > 0)
+        d = d.withColumn("q", F.when(may, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
+        d = tmp.staged(d.withColumn("r", F.floor(F.col("q") / (1 + F.col("q")) * RANGES)).drop("u", "share", "e", "p"), "ranked")
+        gap = d.groupBy("s").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("gap"))
+        more = reduce(DataFrame.unionByName, _fitting(tmp, d.where("q is not null").select("s", "r", "q", "doc_id", "size", "rid"), gap), d.limit(0).select("rid"))
+        d = d.join(more.withColumn("more", F.lit(1)), "rid", "left").withColumn("copies", F.col("certain") + F.coalesce("more", F.lit(0)))
+        return staged(d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")), "mix")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """The documents of the mix, each row as often as it is taken, with all columns.
 
-    Rows that share id and source and size are taken alike often in sum; their
-    copies are dealt to them in order of the text's digest.
+    Rows that share id and source and size are taken alike often in sum; where
+    that doesn't go evenly, copies are dealt to them in order of the text's
+    digest.
     """
-    key = {"__i": F.col(id_col), "__s": F.col(source_col).cast("string"), "__z": word_count(F.col(text_col)), "__t": F.xxhash64(text_col)}
+    key = {"__i": F.col(id_col), "__s": F.col(source_col).cast("string"), "__z": word_count(F.col(text_col)), "__t": F.xxhash64(F.col(text_col).cast("string"))}
     own = docs.select("*", *(v.alias(k) for k, v in key.items()))
-    got = mix(docs, id_col, source_col, text_col, **how).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__n"))
-    got = got.select(F.col("doc_id").alias("__i2"), F.col("source").alias("__s2"), F.col("size").alias("__z2"), "__n")
-    out = own.join(got, F.col("__i").eqNullSafe(F.col("__i2")) & F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__z") == F.col("__z2")))
-    like = W.partitionBy("__i", "__s", "__z")
-    place = F.row_number().over(like.orderBy("__t")) - 1
-    many = F.count("*").over(like)
-    times = F.floor(F.col("__n") / many) + (place < F.col("__n") % many).cast("long")
-    out = out.withColumn("__c", times).where("__c > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))).alias("__k")).drop("__k")
+    got = mix(docs, id_col, source_col, text_col, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__n"), F.count("*").alias("__many")).where("__n > 0")
+    got = staged(got.select(F.col("doc_id").alias("__i2"), F.col("source").alias("__s2"), F.col("size").alias("__z2"), "__n", "__many"), "taken")
+    same = F.col("__i").eqNullSafe(F.col("__i2")) & F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__z") == F.col("__z2"))
+    out = own.join(got, same).withColumn("__c", F.floor(F.col("__n") / F.col("__many")))
+    odd = got.where("__n % __many <> 0")
+    if not odd.isEmpty():
+        place = F.row_number().over(W.partitionBy("__i", "__s", "__z").orderBy("__t")) - 1
+        out = out.where("__n % __many = 0").unionByName(own.join(odd, same).withColumn("__c", F.floor(F.col("__n") / F.col("__many")) + (place < F.col("__n") % F.col("__many")).cast("long")))
+    return out.where("__c > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))).alias("__k")).drop("__k")

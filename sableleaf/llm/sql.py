@@ -28,24 +28,27 @@ o as (select *, row_number() over (order by most / w, source nulls last) as pos,
 f as (select min(pos) as first_open from o where (total - most_before) * w <= most * (all_w - w_before)),
 l as (select cast(total - most_before as double) as words, cast(all_w - w_before as double) as rest, first_open from o, f where pos = first_open),
 g as (select o.source, o.source_size, case when l.first_open is null or o.pos < l.first_open then cast(o.most as double) else l.words * o.w / l.rest end as target from o left join l on true),
-e as (select d.*, g.source_size, g.target, case when g.source_size > 0 then least(3, cast(floor(g.target / g.source_size) as bigint)) else 0 end as certain,
-             case when g.source_size > 0 then g.target / g.source_size else 0 end as e from d join g on d.source is not distinct from g.source),
-p as (select *, case when certain < 3 then e - certain else 0 end as p from e),
+b as (select d.source, length(bin(d.size)) as share, cast(sum(d.size) as bigint) as words, any_value(g.target) as target
+      from d join g on d.source is not distinct from g.source group by 1, 2),
+h as (select *, target - 3 * coalesce(sum(words) over (partition by source order by share desc rows between unbounded preceding and 1 preceding), 0) as left_,
+             cast(sum(share * words) over (partition by source order by share desc rows between current row and unbounded following) as double) as weight from b),
+k as (select *, case when weight > 0 then cast(left_ as double) / weight end as rate from h),
+j as (select source, max_by(rate, share) as rate from k where rate * share <= 3 group by source),
+e as (select d.*, g.source_size, g.target, coalesce(least(3.0::double, j.rate * length(bin(d.size))), 3.0::double) as e
+      from d join g on d.source is not distinct from g.source left join j on d.source is not distinct from j.source),
+p as (select *, cast(floor(e) as bigint) as certain, case when floor(e) < 3 then e - floor(e) else 0 end as p from e),
 q as (select *, row_number() over (order by doc_id, size) as rid, case when p > 0 and size > 0 then (u / (1 - u)) / (p / (1 - p)) end as q,
-             target - sum(certain * size) over (partition by source) as left_ from p),
-c as (select *, case when q is not null and sum(size) over (partition by source, q is null order by q, doc_id, size, rid rows unbounded preceding) <= left_ then 1 else 0 end as more from q),
-fills as (
-  select 0 as turn, source, left_ - sum(more * size) as gap, cast([] as bigint[]) as rids from c group by source, left_
+             target - sum(certain * size) over (partition by source) as lacks from p),
+o2 as (select *, row_number() over (partition by source order by q, doc_id, size, rid) as pos from q where q is not null),
+-- one by one: the next that fits is taken
+fit as (
+  select source, 0::bigint as pos, any_value(lacks) as gap, 0::bigint as rid from q group by source
   union all
-  select f.turn + 1, f.source, f.gap - coalesce(b.size, 0), case when b.rid is null then f.rids else list_append(f.rids, b.rid) end
-  from fills f left join lateral (
-    select c.rid, c.size from c where c.source is not distinct from f.source and c.q is not null and c.more = 0 and c.size < case when f.turn < 4 then f.gap + 1e-9 else 2 * f.gap end
-      and not list_contains(f.rids, c.rid)
-    order by abs(f.gap - c.size), c.q, c.doc_id, c.size, c.rid limit 1) b on true
-  where f.turn < 5)
-select doc_id, size, source_size, target, cast((certain + more + case when x.rid is not null then 1 else 0 end) * size as bigint) as taken,
-       cast(certain + more + case when x.rid is not null then 1 else 0 end as bigint) as copies, c.source
-from c left join (select unnest(rids) as rid from fills where turn = 5) x on c.rid = x.rid
+  select f.source, n.pos, f.gap - n.size, n.rid from fit f join lateral (
+    select x.pos, x.size, x.rid from o2 x where x.source is not distinct from f.source and x.pos > f.pos and x.size <= f.gap order by x.pos limit 1) n on true)
+select q.doc_id, q.size, q.source_size, q.target, cast((q.certain + case when f.rid is not null then 1 else 0 end) * q.size as bigint) as taken,
+       cast(q.certain + case when f.rid is not null then 1 else 0 end as bigint) as copies, q.source
+from q left join (select rid from fit where rid > 0) f on q.rid = f.rid
 """,
     "op3_quality_cascade": f"""
 with t as (select doc_id, coalesce(text, '') as text, {_WORDS.format(text="text")} as w, row_number() over () as k from documents),
