@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from .common import bound_batches, staged
 from .words import raw, slices
 
-#: Bytes of a piece that the scan looks up; no piece is shorter, unless its item is.
-ANCHOR = 16
+#: Bytes of a piece that the scan looks up: the most of these that the piece has.
+ANCHORS = (16, 8, 4, 2, 1)
 #: Errors allowed, as a share of the item's characters.
 ERROR_RATE = 0.05
 #: Characters of test items that one pass over the documents looks for.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 4 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -32,11 +32,11 @@ def normal(text: str | None) -> str:
 def pieces(item: str, rate: float = ERROR_RATE) -> tuple[int, list[tuple[int, str]]]:
     """The error budget k of a normalised item, and its k + 1 pieces with their places.
 
-    k is `rate` of the length, less where pieces would fall under ANCHOR
-    characters. By the pigeonhole principle at most k errors leave one piece whole.
+    k is `rate` of the length (every piece has a character at least). By the
+    pigeonhole principle at most k errors leave one piece whole.
     """
     m = len(item)
-    k = max(0, min(int(m * rate), m // ANCHOR - 1))
+    k = max(0, min(int(m * rate), m - 1))
     cut = [m * i // (k + 1) for i in range(k + 2)]
     return k, [(a, item[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
@@ -75,13 +75,12 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 
 @dataclass
 class Index:
-    """Pieces of a block of test items, by the hash of their first ANCHOR bytes."""
+    """Pieces of a block of test items, by the hash of their first bytes: as many of ANCHORS as they have."""
 
-    items: list[tuple[int, str]]
+    items: list[tuple[object, str]]
     rate: float = ERROR_RATE
     budget: list[int] = field(default_factory=list)
-    by_anchor: dict[int, list[tuple[int, int, bytes]]] = field(default_factory=dict)
-    short: list[int] = field(default_factory=list)
+    by_anchor: dict[int, dict[int, list[tuple[int, int, bytes]]]] = field(default_factory=dict)
 
     def __post_init__(self):
         for n, (_, item) in enumerate(self.items):
@@ -89,21 +88,30 @@ class Index:
             self.budget.append(k)
             for at, piece in parts:
                 b = piece.encode()
-                if len(b) < ANCHOR:
-                    self.short.append(n)  # an item shorter than an anchor is its own, exact piece
-                else:
-                    self.by_anchor.setdefault(int(_anchors(np.frombuffer(b[:ANCHOR], np.uint8))[0]), []).append((n, at, b))
-        bits = max(16, (32 * max(1, len(self.by_anchor))).bit_length())
-        self.shift = np.uint64(64 - min(bits, 26))
-        self.maybe = np.zeros(1 << min(bits, 26), bool)
-        self.keys = np.sort(np.array(list(self.by_anchor), np.uint64))
-        if len(self.keys):
-            self.maybe[self.keys >> self.shift] = True
-
-
-def _anchors(data: np.ndarray) -> np.ndarray:
-    """Hash of the ANCHOR bytes from each place on."""
-    n = len(data) - ANCHOR + 1
+                wide = next(w for w in ANCHORS if w <= len(b))
+                key = int(_anchors(np.frombuffer(b[:wide], np.uint8), wide)[0])
+                self.by_anchor.setdefault(wide, {}).setdefault(key, []).append((n, at, b))
+        self.tables = []
+        for wide, own in self.by_anchor.items():
+            bits = min(26, max(16, (32 * len(own)).bit_length()))
+            keys, maybe = np.sort(np.array(list(own), np.uint64)), np.zeros(1 << bits, bool)
+            maybe[keys >> np.uint64(64 - bits)] = True
+            self.tables.append((wide, keys, maybe, np.uint64(64 - bits)))
+
+    def places(self, data: np.ndarray):
+        """(place, pieces) of every place in the bytes where an anchor stands."""
+        for wide, keys, maybe, shift in self.tables:
+            h = _anchors(data, wide)
+            place = np.flatnonzero(maybe[h >> shift])
+            place = place[keys[np.minimum(np.searchsorted(keys, h[place]), len(keys) - 1)] == h[place]]
+            own = self.by_anchor[wide]
+            for p, key in zip(place.tolist(), h[place].tolist(), strict=True):
+                yield p, own[key]
+
+
+def _anchors(data: np.ndarray, wide: int) -> np.ndarray:
+    """Hash of the `wide` bytes from each place on."""
+    n = len(data) - wide + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     pad = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -112,7 +120,13 @@ def _anchors(data: np.ndarray) -> np.ndarray:
         part = pad[r : r + (len(data) - r + 7) // 8 * 8]
         part = part[: len(part) // 8 * 8].view("<u8") if r == 0 else np.frombuffer(part[: len(part) // 8 * 8].tobytes(), "<u8")
         eight[r::8] = part[: len(eight[r::8])]
-    return (eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ eight[8 : 8 + n]) * np.uint64(0xD6E8FEB86659FD93)
+    if wide < 8:
+        eight &= np.uint64((1 << 8 * wide) - 1)
+    h = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+    if wide == 16:
+        h ^= eight[8 : 8 + n]
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
 
 
 def _folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,22 +146,27 @@ def _search(index: Index, texts: pa.Array):
     """(text number, item number, distance, start, end) of the best hit of each item in each text."""
     data, at = _folded(texts)
     found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}  # by place: least and largest offset of a piece found there
-    if len(index.keys):
-        h = _anchors(data)
-        place = np.flatnonzero(index.maybe[h >> index.shift])
-        place = place[index.keys[np.minimum(np.searchsorted(index.keys, h[place]), len(index.keys) - 1)] == h[place]]
-        for p, t in zip(place.tolist(), (np.searchsorted(at, place, "right") - 1).tolist(), strict=True):
-            for n, offset, piece in index.by_anchor[int(h[p])]:
-                if p + len(piece) <= at[t + 1] and data[p : p + len(piece)].tobytes() == piece:
-                    hits = found.setdefault((t, n), {})
-                    a, b = hits.get(p, (offset, offset))
-                    hits[p] = min(a, offset), max(b, offset)
+    for p, pieces_there in index.places(data):
+        t = int(np.searchsorted(at, p, "right")) - 1
+        for n, offset, piece in pieces_there:
+            if p + len(piece) <= at[t + 1] and data[p : p + len(piece)].tobytes() == piece:
+                hits = found.setdefault((t, n), {})
+                a, b = hits.get(p, (offset, offset))
+                hits[p] = min(a, offset), max(b, offset)
     now = None
-    for (t, n), hits in found.items():
+    for (t, n), hits in sorted(found.items(), key=lambda x: x[0]):
         item, k = index.items[n][1], index.budget[n]
-        if t != now:  # found is in order of texts
+        if t != now:
             own = data[at[t] : at[t + 1]]
             now, text, char = t, own.tobytes().decode(), np.cumsum((own & 0xC0) != 0x80) - 1
+        if not k:  # without errors allowed, an item stands apart from the letters and digits around it
+            for p in sorted(hits):
+                low = int(char[p - at[t]])
+                high = low + len(item)
+                if not (low and text[low - 1].isalnum() and item[0].isalnum()) and not (high < len(text) and text[high].isalnum() and item[-1].isalnum()):
+                    yield t, n, 0, low, high
+                    break
+            continue
         # windows in characters; those that overlap are searched as one
         windows: list[list[int]] = []
         for p in sorted(hits):
@@ -165,14 +184,6 @@ def _search(index: Index, texts: pa.Array):
                 best = (d, low + end - left, low + end)
         if best:
             yield (t, n, *best)
-    for n in index.short:
-        item = index.items[n][1]
-        own = item.encode()
-        for t in range(len(at) - 1):
-            text = data[at[t] : at[t + 1]].tobytes()
-            if (p := text.find(own)) >= 0:
-                a = len(text[:p].decode())
-                yield t, n, 0, a, a + len(item)
 
 
 def _blocks(items: DataFrame, rate: float):
@@ -195,8 +206,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Returns (doc_id, item_id, distance, start, end): the least edit distance and
     the place of the (first) best match, in characters of the normalised text.
+    An item too short for an error must stand apart from letters and digits.
     Test items are read in blocks of BLOCK_CHARS characters; each block is sent to
-    the executors and makes one pass over the documents, which are never shuffled.
+    the executors, makes one pass over the documents, which are never shuffled,
+    and is released when what it found is written.
 
     Null or empty texts and items match nothing; ids pass through unread, so rows
     that repeat an id give a row each, and items that repeat give a row each.
@@ -221,7 +234,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         t, n, d, a, b = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(t)), pa.array([own.items[x][0] for x in n]), pa.array(d, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "item_id", "distance", "start", "end"])
 
-        hits = docs.mapInArrow(run, schema)
+        hits = staged(docs.mapInArrow(run, schema), "leaks")
+        held.destroy()
         out = hits if out is None else out.unionByName(hits)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -234,10 +248,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     pass kept is written before the next, so that a worker holds one block.
     Null and empty texts stay, ids aren't read, empty tables give what is left.
     """
-    spark, schema = docs.sparkSession, docs.schema
+    spark, schema, held = docs.sparkSession, docs.schema, None
     bound_batches(spark)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    for k, index in enumerate(_blocks(items, rate)):
+    for index in _blocks(items, rate):
+        if held is not None:
+            docs = staged(docs, "unleaked")
+            held.destroy()
         held = spark.sparkContext.broadcast(index)
 
         def run(batches, held=held):
@@ -248,5 +265,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                     keep[[hit[0] for hit in _search(own, part.column(text_col))]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = (staged(docs, "unleaked") if k else docs).mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, schema)
     return docs
