@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import staged
+from .common import Scratch, staged
 
-#: Groups that one task differences; the tasks' partial partitions are differenced in turn.
-BUCKET_GROUPS = 50_000
-#: Rows of a shard that are numbered in one task, about.
-BLOCK_ROWS = 500_000
+#: Groups that are differenced at once, about.
+BUCKET_GROUPS = 2_000
+#: Partial partitions that are differenced at once, in turn.
+FAN = 1_000
+#: Rows of a shard that are numbered at once, about.
+BLOCK_ROWS = 20_000
 
 
 def difference(parts: list[list[tuple[int, object]]]) -> list[tuple[int, object]]:
     """Karmarkar-Karp: combine the two partial partitions of largest spread, oppositely ordered, until one is left.
 
-    A partial partition is a list of k (sum, members); members are trees of pairs.
+    A partial partition is a list of k (sum, members); members are None, a list of leaves, or a pair of members.
     Returns the last partition, largest sum first.
     """
     heap = []
@@ -37,22 +39,22 @@ def difference(parts: list[list[tuple[int, object]]]) -> list[tuple[int, object]
     return heap[0][2] if heap else []
 
 
-def members(tree) -> list[int]:
-    """The leaves of a tree of pairs."""
-    out, todo = [], [tree] if tree is not None else []
+def members(tree) -> list:
+    """All leaves of some members."""
+    out, todo = [], [tree]
     while todo:
         x = todo.pop()
-        if isinstance(x, tuple):
+        if isinstance(x, list):
+            out += x
+        elif x is not None:
             todo.extend(x)
-        else:
-            out.append(x)
     return out
 
 
 def assign(sizes: list[int], shards: int) -> list[int]:
     """The shard of each of some sizes."""
     out = [0] * len(sizes)
-    for k, (_, tree) in enumerate(difference([[(s, i), *[(0, None)] * (shards - 1)] for i, s in enumerate(sizes)])):
+    for k, (_, tree) in enumerate(difference([[(s, [i]), *[(0, None)] * (shards - 1)] for i, s in enumerate(sizes)])):
         for i in members(tree):
             out[i] = k
     return out
@@ -62,42 +64,61 @@ def shards(docs: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str =
     """Put documents into n shards of near equal bytes; equal texts stay together.
 
     Returns (doc_id, size, text_crc32, shard, slot): size is the UTF-8 bytes of
-    the text plus 1 (a null text: 1, and a group of its own), slot numbers a
-    shard's rows from 0 without gaps.
-
-    Groups of equal texts are dealt to tasks by digest and differenced there into
-    one partial partition of n sums each; those, one for each BUCKET_GROUPS
-    groups, are differenced on the driver. A group is never split, so one of more
-    than 1/n of all bytes makes its shard that large. Slots are counted by block
-    of a shard, so no task numbers a whole shard. Repeated ids are rows like
-    others; an empty table gives an empty one; other columns are ignored.
+    the text plus 1 (a null text: 1), slot numbers a shard's rows from 0 without
+    gaps. The result depends on the rows and on n alone, not on the cluster.
+
+    Groups of equal texts are dealt by digest to buckets of BUCKET_GROUPS or so
+    and differenced there into one partial partition of n sums each. FAN of these
+    are differenced into one in turn, all by tasks, until one is left; the way
+    back from its shards to the groups is a join for each turn. A group is never
+    split, so one of more than 1/n of all bytes makes its shard that large; null
+    texts are one group. Slots are counted by block of a shard, so no task numbers
+    a whole shard. Repeated ids are rows like others; an empty table gives an
+    empty one; other columns are ignored.
     """
-    spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("g"))
-    d = staged(d, "sizes")
-    groups = staged(d.groupBy("g").agg(F.sum("size").alias("bytes")), "groups")
-    buckets = max(1, groups.count() // BUCKET_GROUPS, spark.sparkContext.defaultParallelism)
-    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int"))
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("g")
-        part = assign(group.column("bytes").to_pylist(), n)
-        return pa.table([group.column("g"), group.column("bucket"), pa.array(part, pa.int32()), group.column("bytes")], names=["g", "bucket", "part", "bytes"])
-
-    local = staged(groups.groupBy("bucket").applyInArrow(run, "g string, bucket int, part int, bytes long"), "local")
-    sums = {(r["bucket"], r["part"]): r["b"] for r in local.groupBy("bucket", "part").agg(F.sum("bytes").alias("b")).collect()}
-    last = difference([[(sums.get((b, p), 0), b * n + p) for p in range(n)] for b in sorted({b for b, _ in sums})])
-    of = [(i // n, i % n, k) for k, (_, tree) in enumerate(last) for i in members(tree)]
-    of = spark.createDataFrame(of, "bucket int, part int, shard int")
-    d = staged(d.join(local.join(of, ["bucket", "part"]).select("g", "shard"), "g"), "sharded")
-
-    blocks = max(1, spark.sparkContext.defaultParallelism, d.count() // (n * BLOCK_ROWS))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "g"), F.lit(blocks)).cast("int"))
-    count = d.groupBy("shard", "block").agg(F.count("*").alias("c"))
-    base = count.withColumn("base", F.sum("c").over(W.partitionBy("shard").orderBy("block")) - F.col("c")).drop("c")
-    d = d.withColumn("k", F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "g")) - 1)
-    return d.join(staged(base, "base"), ["shard", "block"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("k")).alias("slot"))
+    with Scratch(docs.sparkSession) as tmp:
+        d = tmp.staged(d, "sizes")
+        groups = tmp.staged(d.groupBy("g").agg(F.sum("size").alias("bytes")), "groups")
+        buckets = max(1, -(-groups.count() // BUCKET_GROUPS))
+        groups = groups.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
+
+        def first(group: pa.Table) -> pa.Table:
+            group = group.sort_by("g")
+            part = assign(group.column("bytes").to_pylist(), n)
+            return pa.table([group.column("g"), group.column("bucket"), pa.array(part, pa.int32()), group.column("bytes")], names=["g", "bucket", "part", "bytes"])
+
+        def again(group: pa.Table) -> pa.Table:
+            sums: dict[int, list] = {}
+            for b, p, size in zip(*(group.column(c).to_pylist() for c in ("bucket", "part", "bytes")), strict=True):
+                sums.setdefault(b, [(0, None)] * n)[p] = (size, (b, p))
+            last = difference([[(size, [leaf] if leaf else None) for size, leaf in sums[b]] for b in sorted(sums)])
+            rows = [(b, p, b // FAN, k) for k, (_, tree) in enumerate(last) for b, p in members(tree)]
+            return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["bucket", "part", "above", "shard"])
+
+        local = tmp.staged(groups.groupBy("bucket").applyInArrow(first, "g string, bucket long, part int, bytes long"), "local")
+        parts = tmp.staged(local.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")), "parts")
+        turns = []
+        while buckets > 1:
+            up = tmp.staged(parts.groupBy(F.floor(F.col("bucket") / FAN).alias("above")).applyInArrow(again, "bucket long, part int, above long, shard int"), "turn")
+            turns.append(up)
+            parts = tmp.staged(parts.join(up, ["bucket", "part"]).groupBy(F.col("above").alias("bucket"), F.col("shard").alias("part")).agg(F.sum("bytes").alias("bytes")), "parts")
+            buckets = -(-buckets // FAN)
+        of = local.select("g", "bucket", F.col("part").alias("shard"))
+        for up in turns:
+            up = up.select("bucket", F.col("part").alias("shard"), "above", F.col("shard").alias("next"))
+            of = of.join(up, ["bucket", "shard"]).select("g", F.col("above").alias("bucket"), F.col("next").alias("shard"))
+        # written, so that Spark can split a hot text in the join
+        d = tmp.staged(d.join(tmp.staged(of.select("g", "shard"), "shard_of"), "g"), "sharded")
+
+        blocks = max(1, -(-d.count() // (n * BLOCK_ROWS)))
+        d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "g"), F.lit(blocks)).cast("int"))
+        count = d.groupBy("shard", "block").agg(F.count("*").alias("c"))
+        base = count.withColumn("base", F.sum("c").over(W.partitionBy("shard").orderBy("block")) - F.col("c")).drop("c")
+        d = d.withColumn("k", F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "g")) - 1)
+        out = d.join(tmp.staged(base, "base"), ["shard", "block"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("k")).alias("slot"))
+        return staged(out, "shards")
 
 
 def write_shards(docs: DataFrame, path: str, n: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
