@@ -42,17 +42,31 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1)
 
 
-def fitting(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """Text and verdict of the longest rule that fits, else null; of equal rules the allow wins.
+def fitting(urls: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Adds to rows with host and path the text and verdict of the longest rule that fits (`rule`, `says`), else null.
 
-    The rules become one expression, without a join; that suits lists of up to a
-    few hundred.
+    Rules are gathered by host, and hosts by their number of labels; a url's last
+    so many labels are joined to those, once for each number, so a long list of
+    rules costs as many joins as a short one, and Spark broadcasts it only if it
+    is small. Of rules with the same text the allow wins.
     """
-    text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.text), r.verdict == "allow")):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        text, verdict = F.when(fits, F.lit(r.text)).otherwise(text), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
-    return text, verdict
+    spark = urls.sparkSession
+    out, best = urls, []
+    depths = sorted({r.host.count(".") + 1 for r in rules})
+    for k in depths:
+        own = [(r.host, r.path, r.text, r.verdict) for r in rules if r.host.count(".") + 1 == k]
+        own = spark.createDataFrame(own, "__host string, path string, text string, verdict string")
+        # by code points, the longest first; "allow" sorts before "block"
+        own = own.groupBy("__host").agg(F.array_sort(F.collect_list(F.struct((-F.char_length("text")).alias("short"), "verdict", "path", "text"))).alias(f"__r{k}"))
+        own = own.withColumnRenamed("__host", f"__h{k}")
+        last = F.substring_index(F.col("host"), ".", -k)
+        out = out.join(own, last == F.col(f"__h{k}"), "left")
+        fits = F.filter(F.col(f"__r{k}"), lambda r: F.col("path").startswith(r["path"]))
+        best.append(F.get(fits, F.lit(0)))
+    if not rules:
+        return out.withColumns({"rule": F.lit(None).cast("string"), "says": F.lit(None).cast("string")})
+    top = F.least(*best) if len(best) > 1 else best[0]
+    return out.withColumn("__top", top).withColumns({"rule": F.col("__top")["text"], "says": F.col("__top")["verdict"]}).drop("__top", *(f"__{x}{k}" for k in depths for x in "hr"))
 
 
 def declared_target(html: Column) -> list[Column]:
@@ -90,8 +104,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     """
     url = F.col(url_col).cast("string")
     own = pages.select(F.col(id_col).alias("page_id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"), *(t.alias(f"t{k}") for k, t in enumerate(declared_target(F.col(html_col)) if html_col else [])))
-    rule, verdict = fitting(F.col("host"), F.col("path"), rules)
-    judged = own.withColumn("rule", rule).withColumn("own", verdict).withColumn("node", F.when(F.col("host") != "", F.concat("host", "path")))
+    judged = fitting(own, rules).withColumnRenamed("says", "own").withColumn("node", F.when(F.col("host") != "", F.concat("host", "path")))
     ends = [c for c in own.columns if c.startswith("t") and c[1:].isdigit()]
 
     edges = None
@@ -111,7 +124,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     if edges is None:
         return out.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.lit(False).alias("alias_block"), F.lit(False).alias("alias_allow"))
     nodes = edges.select("host", "path").unionByName(edges.select(F.col("host2").alias("host"), F.col("path2").alias("path"))).distinct()
-    said = nodes.select(F.concat("host", "path").alias("node"), fitting(F.col("host"), F.col("path"), rules)[1].alias("says"))
+    said = fitting(nodes, rules).select(F.concat("host", "path").alias("node"), "says")
     comps = staged(connected_components(edges.select(F.concat("host", "path").alias("a"), F.concat("host2", "path2").alias("b"))), "url_components")
     of = comps.join(said, "node").groupBy("component").agg(F.bool_or(F.col("says").eqNullSafe("block")).alias("alias_block"), F.bool_or(F.col("says").eqNullSafe("allow")).alias("alias_allow"))
     by_node = staged(comps.join(of, "component").select("node", "alias_block", "alias_allow").where("alias_block or alias_allow"), "url_verdicts")
