@@ -115,7 +115,7 @@ def estimate(docs: DataFrame, rules=RULES, text_col: str = "text", rows: int = S
     cost and no rejection.
     """
     bound_batches(docs.sparkSession)
-    every = docs.count()
+    every = docs.count()  # of parquet, from the files' footers
     share = min(1.0, rows / max(1, every))
 
     def run(batches):
@@ -154,7 +154,7 @@ def cascade(f: Features, rules) -> tuple[np.ndarray, np.ndarray]:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Figures and verdict of every text: (doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept, order).
+    n_dup_lines, n_repeat_words, base_failed, kept).
 
     `kept` is the cascade's verdict: no rule rejects the text; it doesn't depend
     on the order, which is by rejection per cost on a sample. A null text has no

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import counts, decontaminate, jaccard, licenses, lines, mixing, quality, sharding, token_files, urls
@@ -21,8 +21,13 @@ URL_RULES = [
 ]
 
 
+def length_share(size: Column) -> Column:
+    """The share of a document by its words: the binary digits of their number, so a long text counts for more than a short one."""
+    return F.length(F.bin(size))
+
+
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    return mixing.mix(table(spark, sf_dir, "documents"), share_of=length_share).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return licenses.scan_licenses(docs, F.concat_ws("/", "source", "lang", "doc_id"))
+    return licenses.scan_licenses(docs, F.concat_ws("/", "source", "lang", "doc_id", F.lit("text")))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
