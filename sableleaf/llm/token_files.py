@@ -25,23 +25,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import arrow_rows, new_path
+from .common import bound_batches, new_path, staged
+from .counts import byte_symbols
 from .words import slices
 
 MAGIC = b"SLTOKEN1"
 BLOCK = 1 << 16
 FOOTER = struct.Struct("<5Q8s")
-#: Ids of distinct words that a worker keeps, at most; it then starts anew.
-CACHE = 500_000
+#: Distinct words whose ids a worker keeps, at most: about 150 bytes each.
+CACHE = 300_000
 #: Fixed value: the split that keeps letters, digits and other signs apart.
 APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?]+(?=[\x09-\x0d\x20]|\Z)")
+#: Signs of ASCII but for the apostrophe, which the split joins to letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A run of them at the end of a word, behind a letter (Latin-1) or digit.
+TAIL = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([" + re.escape(SIGNS) + r"]+)(\s|$)"
+#: Letters that are their own lower case and composed form, whatever stands beside them.
+PLAIN = "[a-z\u00df-\u00f6\u00f8-\u00ff]+"
 #: Bytes of text that one file is meant to hold.
 FILE_BYTES = 32 << 20
 
@@ -168,7 +176,12 @@ class WordTokenizer:
 
     Only for vocabularies whose pre-tokenizer drops white space: there the ids of
     a text are those of its words (split at 0x20 and 0x09-0x0D), one after the
-    other; where letters and signs are kept apart, so are the signs behind a word. Other vocabularies are encoded text by text.
+    other; where letters and signs are kept apart, so is a run of signs at the
+    end of a word, and A-Z may be folded before, but where an added string may
+    stand. Other vocabularies are encoded text by text.
+
+    A word of the letters in PLAIN is its own normal form and one pre-token, so it
+    goes straight to the library's model, which is most of the work saved.
     """
 
     def __init__(self, path: str):
@@ -179,51 +192,100 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        cut = pre.get("pretokenizers") or [{}]
         # the matches stay and no match holds white space; added strings hold none either and keep their surroundings
-        self.by_word = cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" \t\n\v\f\r") for t in spec["added_tokens"])
+        self.by_word = cut[0].get("behavior") == "Removed" and cut[0].get("invert") is True and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"] or set(t["content"]) & set(" \t\n\v\f\r") for t in spec["added_tokens"])
+        self.first = sorted({t["content"][:1] for t in spec["added_tokens"]})
         # signs behind a word are then a word of their own, and case doesn't count
-        self.apart = self.by_word and cut[0].get("pattern") == {"Regex": APART} and {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", [])
-        self._anew()
-
-    def _anew(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.len, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.apart = self.by_word and cut[0].get("pattern") == {"Regex": APART} and [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        bytewise = [x["type"] for x in cut[1:]] == ["ByteLevel"] and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
+        self.plain = re.compile(PLAIN).fullmatch if self.apart and bytewise else None
+        self.model, self.symbol = self.lib.model, byte_symbols()
+        self.known: dict[str, int] = {}
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _lib(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        ids = self._lib([w.decode() for w in new])
-        self.known.update(zip(new, range(len(self.len), len(self.len) + len(new)), strict=True))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.len = np.concatenate([self.len, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))])
-
-    def _words(self, text: bytes) -> list[bytes]:
-        if self.apart and b"<" not in text:  # no added string can be in it
-            text = _TAIL.sub(lambda m: b" " + m[0], text.lower())
-        return text.split()
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and the number of each."""
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words, one after the other, and the number of each."""
+        flat: list[int] = []
+        size: list[int] = []
+        other = []
+        plain, model, symbol = self.plain, self.model, self.symbol
+        for w in words:
+            if plain and plain(w):
+                own = model.tokenize(w if w.isascii() else "".join([symbol[b] for b in w.encode()]))
+                flat += [t.id for t in own]
+                size.append(len(own))
+            else:
+                other.append(w)
+                size.append(-1)
+        n = np.array(size, np.int64)
+        if not other:
+            return np.array(flat, np.uint32), n
+        more = self._lib(other)
+        late = n < 0
+        n[late] = [len(x) for x in more]
+        out, mine = np.zeros(int(n.sum()), np.uint32), np.repeat(late, n)
+        out[~mine] = flat
+        out[mine] = [x for ids in more for x in ids]
+        return out, n
+
+    def _of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each of some distinct words begin, how many they are, and the ids.
+
+        A word is kept while fewer than CACHE are; the first met are the common ones.
+        """
+        known = self.known
+        place = np.array([known.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(place < 0)
+        start, size, flat = self.start, self.size, self.flat
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            ids, n = self._ids(fresh)
+            place[new] = len(size) + np.arange(len(new))
+            start = np.concatenate([start, len(flat) + np.cumsum(n) - n])
+            size = np.concatenate([size, n])
+            flat = np.concatenate([flat, ids])
+            room = max(0, CACHE - len(known))
+            if room:
+                known.update(zip(fresh[:room], place[new][:room].tolist(), strict=True))
+                keep = len(self.size) + min(room, len(fresh))
+                self.start, self.size = start[:keep].copy(), size[:keep].copy()
+                self.flat = flat[: int(self.start[-1] + self.size[-1])].copy()
+        return start[place], size[place], flat
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of each; a null is an empty text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
         if not self.by_word:
-            ids = [np.array(i, np.uint32) for i in self._lib(texts)]
-            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
-        if len(self.known) >= CACHE:
-            self._anew()
-        split = [self._words(t.encode()) for t in texts]
-        new = list({w for s in split for w in s if w not in self.known})
-        if new:
-            self._learn(new)
-        of = np.fromiter((self.known[w] for s in split for w in s), np.int64, sum(map(len, split)))
-        size = self.len[of]
+            ids = self._lib(texts.to_pylist())
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((x for i in ids for x in i), np.uint32, int(n.sum())), n
+        if self.apart:  # texts that may hold an added string keep their words, and words that may, their case
+            split = pc.replace_substring_regex(texts, TAIL, r"\1 \2\3")
+            texts = pc.if_else(self._marked(texts), texts, split)
+        lists = pc.ascii_split_whitespace(texts)
+        flat = lists.flatten()
+        if self.apart:
+            flat = pc.if_else(self._marked(flat), flat, pc.ascii_lower(flat))
+        coded = flat.dictionary_encode()  # white space at the ends of a text gives empty words, which have no ids
+        start, size, known = self._of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        of = coded.indices.to_numpy()
+        start, size = start[of], size[of]
         end = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[of] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
-        last = np.cumsum([len(s) for s in split], dtype=np.int64)
-        total = np.concatenate([[0], end])[last] if len(last) else last
-        return ids, np.diff(total, prepend=0)
+        out = known[np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+        cut = np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return out, np.diff(cut)
+
+    def _marked(self, texts: pa.Array) -> pa.Array:
+        """Whether each text holds the first sign of an added string."""
+        out = pa.array(np.zeros(len(texts), bool))
+        for sign in self.first:
+            out = pc.or_(out, pc.match_substring(texts, sign))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -239,8 +301,9 @@ def write_token_files(docs: DataFrame, path: str, out: str, id_col: str = "doc_i
 
     Runs the job and returns the files' table: (file, n_texts, n_ids, start), in
     order, `start` being the ids of all files before. Null texts are empty; null
-    ids come first; rows that repeat an id lie next to each other, by text. An
-    empty table writes no file. A file is written under another name and then
+    ids come first; rows that repeat an id (or have none) lie next to each other,
+    by the digest of their text, and may go on in the next file. An empty table
+    writes no file. A file is written under another name and then
     moved, so a task that is run again replaces it with the same bytes. `out` is
     a URI that the executors' pyarrow can open (file, hdfs, s3, gs).
     """
@@ -261,7 +324,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, id_col: str = "doc_i
                 if writer is None:
                     file = store.open_output_stream(temp)
                     writer = Writer(file, kind)
-                ids, n = own.encode(["" if t is None else t for t in part.column("text").to_pylist()])
+                ids, n = own.encode(part.column("text"))
                 at = np.concatenate([[0], np.cumsum(n)])
                 for k, doc in enumerate(part.column("doc_id").to_pylist()):
                     writer.text(doc, np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)))
@@ -271,13 +334,12 @@ def write_token_files(docs: DataFrame, path: str, out: str, id_col: str = "doc_i
             store.move(temp, name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(writer.docs)]), pa.array([writer.ids])], ["file", "n_texts", "n_ids"])
 
-    with arrow_rows(spark, 1000):
-        rows = docs.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "file string, n_texts long, n_ids long").collect()
-    out_rows, before = [], 0
-    for r in sorted(rows, key=lambda r: r["file"]):
-        out_rows.append((r["file"], r["n_texts"], r["n_ids"], before))
-        before += r["n_ids"]
-    return spark.createDataFrame(out_rows, "file string, n_texts long, n_ids long, start long").repartition(max(1, len(out_rows)), "file")
+    key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    bound_batches(spark)
+    dealt = docs.repartitionByRange(files, *key).sortWithinPartitions(*key, "text")
+    rows = staged(dealt.mapInArrow(run, "file string, n_texts long, n_ids long"), "token_file_rows")
+    before = F.sum("n_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))  # a row for each file
+    return staged(rows.withColumn("start", F.coalesce(before, F.lit(0))), "token_file_table").repartitionByRange(files, "file")
 
 
 def read_token_files(files: DataFrame, out: str) -> DataFrame:
