@@ -5,13 +5,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, staged
+from .common import Scratch, bound_batches, narrowed, staged
 from .components import connected_components
-from .words import ragged, shingle_sets, slices
+from .words import mix, ragged, shingle_sets, slices
 
+#: Tokens that come last in the order by frequency, at most; they are broadcast.
+HEAVY = 1 << 16
+#: Tokens that a run of texts reports as shared by several, at most: the most frequent.
+SLICE_HEAVY = 1 << 12
 #: Rounds in which a list's members meet one leader each, before leaders are taken off the lists.
 LEADER_ROUNDS = 2
 #: The leaders of a list in the rounds after those: so many times the round before.
@@ -23,101 +27,141 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def prefix(tokens: np.ndarray, percent: int, more: int = 1) -> np.ndarray:
-    """The first tokens under an order: linked sets share `more` of them at the least."""
+def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens under an order, so many that linked sets share one of them at the least."""
     n = len(tokens)
-    return tokens[: n - int(least_overlap(n, percent)) + more] if n else tokens
+    return tokens[: n - int(least_overlap(n, percent)) + 1] if n else tokens
 
 
-def _spare(n: int) -> int:
-    """Tokens of the long prefix by hash that a linked set shares, at the least, with every partner's.
+def by_frequency(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A set (sorted) in the order by frequency: by hash, but heavy tokens (sorted; with their ranks) last, by rank."""
+    if not len(heavy) or not len(tokens):
+        return tokens
+    at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
+    late = heavy[at] == tokens
+    return np.concatenate([tokens[~late], tokens[late][np.argsort(rank[at[late]])]])
 
-    A partner has 80 % (or the given share) of the tokens at the least, so both
-    sides' prefixes are this much longer than needed for one.
-    """
-    return max(1, n // 10)
+
+def marks(tokens: np.ndarray) -> np.ndarray:
+    """32-bit marks of tokens: equal tokens have equal marks."""
+    return (tokens >> np.uint64(7)).astype(np.uint32)
+
+
+def other_order(tokens: np.ndarray) -> np.ndarray:
+    """A set in the order by another hash."""
+    return tokens[np.argsort(mix(tokens * np.uint64(0xD1342543DE82EF95)))]
+
+
+def _digest(tokens: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(tokens.tobytes())
+
+
+def _class(key: bytes) -> int:
+    """A class's number: half the digest of its set."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
-def _scan(percent: int):
+def _scan(batches):
+    """Size and digest of each set; the first row of a run of texts also has the tokens that several of its sets share, and how many."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = shingle_sets(part.column("text"))
+            keys = [_digest(s) if len(s) else None for s in sets]
+            once = list({k: s for k, s in zip(keys, sets, strict=True) if k}.values())
+            token, times = np.unique(np.concatenate([*once, np.zeros(0, np.uint64)]), return_counts=True)
+            often = np.flatnonzero(times > 1)
+            often = often[np.argsort(-times[often], kind="stable")][:SLICE_HEAVY]
+            none = [np.zeros(0, np.int64)] * (part.num_rows - 1)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([k and _class(k) for k in keys], pa.int64()), ragged([token[often], *none], pa.int64()), ragged([times[often], *none], pa.int64())],
+                ["doc_id", "n_shingles", "set_key", "cid", "often", "times"],
+            )
+
+
+def _postings(percent: int, held):
+    """(token, cid, n) of the tokens in each set's prefix under the order by frequency."""
+
     def run(batches):
+        heavy, rank = held.value
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        ragged([prefix(s, percent, _spare(len(s))) for s in sets], pa.int64()),
-                    ],
-                    ["doc_id", "n_shingles", "set_key", "prefix"],
-                )
+                own = {_class(_digest(s)): s for s, i in zip(shingle_sets(part.column("text")), part.column("doc_id"), strict=True) if len(s) and i.is_valid}
+                if own:
+                    tokens = [prefix(by_frequency(s, heavy, rank), percent) for s in own.values()]
+                    size = [len(t) for t in tokens]
+                    cid, n = np.array(list(own), np.int64), np.array([len(s) for s in own.values()], np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(cid, size)), pa.array(np.repeat(n, size))], ["token", "cid", "n"])
 
     return run
 
 
-def marks(tokens: np.ndarray) -> np.ndarray:
-    """32-bit marks of tokens: equal tokens have equal marks."""
-    return (tokens >> np.uint64(7)).astype(np.uint32)
-
-
 def _sets(percent: int):
-    """Whole sets of the rows whose set is their class's, and marks of their prefixes by hash, lowest and highest first."""
+    """Whole sets, and marks of their prefixes under two orders by hash."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"))
-                own = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == k.as_py() for s, k in zip(sets, part.column("set_key"), strict=True)], pa.bool_())
-                rows = [part.column("cls"), pa.array([len(s) for s in sets], pa.int32()), part.column("copies"), part.column("set_key"), ragged(sets, pa.int64()), ragged([marks(prefix(s, percent)) for s in sets], pa.int32()), ragged([marks(prefix(s[::-1], percent)) for s in sets], pa.int32())]
-                yield pa.RecordBatch.from_arrays(rows, ["cls", "n", "copies", "set_key", "tokens", "low", "high"]).filter(own)
+                rows = [part.column("doc_id"), pa.array([_class(_digest(s)) for s in sets], pa.int64()), ragged(sets, pa.int64())]
+                rows += [ragged([marks(prefix(order(s), percent)) for s in sets], pa.int32()) for order in (lambda s: s[::-1], other_order)]
+                yield pa.RecordBatch.from_arrays(rows, ["cls", "cid", "tokens", "high", "other"])
 
     return run
 
 
-def _common(postings: DataFrame) -> DataFrame:
-    """Postings (token, ...) whose token another set has too, with the sets that have it (df).
+def _heavy(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens found in many sets, HEAVY at the most, sorted, and their ranks by frequency.
 
-    Counts are combined before they move, and the join splits a hot token.
+    Any such list makes a valid order; this one keeps the tokens that most sets
+    share out of the prefixes.
     """
-    many = postings.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    return postings.join(many, "token")
-
-
-def _least(percent: int) -> Column:
-    return F.expr(f"int(ceil({percent} * n / 100))")
+    seen = scan.where("size(often) > 0").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("token")).agg(F.sum("x.times").alias("times"))
+    levels = {r["level"]: r["c"] for r in seen.groupBy(F.floor(F.log2("times")).alias("level")).agg(F.count("*").alias("c")).collect()}
+    least, total = 1 << 62, 0
+    for level in sorted(levels, reverse=True):
+        total += levels[level]
+        if total > HEAVY:
+            break
+        least = 1 << level
+    rows = sorted((r["times"], r["token"]) for r in seen.where(F.col("times") >= least).collect())
+    token = np.array([t for _, t in rows], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], order
 
 
 class _Join:
-    """The join's tables: scanned rows, classes of equal sets, whole sets, and lists of classes by token."""
+    """The join's tables: scanned rows, classes of equal sets, lists of classes by token, and the sets of those."""
 
     def __init__(self, tmp: Scratch, docs: DataFrame, id_col: str, text_col: str, percent: int):
         self.tmp, self.percent = tmp, percent
-        bound_batches(docs.sparkSession)
+        spark = docs.sparkSession
+        bound_batches(spark)
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.scan = tmp.staged(docs.mapInArrow(_scan(percent), "doc_id long, n_shingles long, set_key binary, prefix array<bigint>"), "shingles")
+        self.scan = tmp.staged(docs.mapInArrow(_scan, "doc_id long, n_shingles long, set_key binary, cid long, often array<bigint>, times array<bigint>"), "shingles")
         full = self.scan.where("n_shingles > 0 and doc_id is not null")
-        rows = full.groupBy("set_key", "doc_id").agg(F.count("*").alias("copies"))
-        firsts = rows.groupBy("set_key").agg(F.min(F.struct("doc_id", "copies")).alias("x")).select("set_key", F.col("x.doc_id").alias("cls"), F.col("x.copies").alias("copies"))
-        self.classes = tmp.staged(firsts, "classes")
-
-        # the order by hash, on documents: those whose long prefix shares enough tokens with others' stay
-        own = full.select("set_key", F.col("doc_id").alias("cls"), F.col("n_shingles").cast("int").alias("n"), "prefix").join(self.classes, ["set_key", "cls"])
-        lone = own.where("copies = 1").unionByName(own.where("copies > 1").dropDuplicates(["cls", "set_key"]))
-        hits = _common(lone.select("cls", "n", F.explode("prefix").alias("token"))).groupBy("cls", "n").agg(F.count("*").alias("k"))
-        able = hits.where(F.col("k") >= F.greatest(F.lit(1), F.floor(_least(percent) / 10))).select("cls").distinct()
-        able = tmp.staged(able.join(self.classes, "cls"), "able")
-        kept = docs.join(able, docs["doc_id"] == able["cls"]).select("cls", "copies", "set_key", "text")
-        kept = kept.mapInArrow(_sets(percent), "cls bigint, n int, copies bigint, set_key binary, tokens array<bigint>, low array<int>, high array<int>")
-        self.sets = tmp.staged(kept, "sets")
-        if not self.sets.where("copies > 1").isEmpty():  # rows that repeat id and text
-            self.sets = tmp.staged(self.sets.where("copies = 1").unionByName(self.sets.where("copies > 1").dropDuplicates(["cls", "set_key"])), "sets_once")
-
-        # the order by frequency, rarest first: tokens of one set only lead it and can't be shared
-        shared = _common(self.sets.select("cls", "n", F.explode("tokens").alias("token")))
-        lists = shared.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own")).where(F.size("own") >= _least(percent))
-        lists = lists.select("cls", "n", F.explode(F.slice("own", F.lit(1), F.size("own") - _least(percent) + 1)).alias("x"))
-        self.lists = tmp.staged(lists.select("cls", "n", F.col("x.token").alias("token")), "lists")
+        self.classes = tmp.staged(full.groupBy("set_key").agg(F.min("doc_id").alias("cls"), F.first("cid").alias("cid")), "classes")
+        held = spark.sparkContext.broadcast(_heavy(self.scan))
+
+        # the order by frequency: lists of the classes that share a token of their prefixes
+        postings = tmp.staged(docs.mapInArrow(_postings(percent, held), "token long, cid long, n int"), "postings")
+        held.destroy()
+        end = F.struct("cid", "n")
+        tokens = tmp.staged(postings.groupBy("token").agg(F.count("*").alias("c"), F.min(end).alias("a"), F.max(end).alias("b")).where("a <> b"), "tokens")
+        two = tokens.where("c = 2").select("token", F.explode(F.array("a", "b")).alias("x")).select("token", "x.cid", "x.n")
+        more = tokens.where("c > 2").select("token")
+        more = narrowed(postings, "token", more).join(more, "token").select("token", "cid", "n").distinct()
+        lists = tmp.staged(two.unionByName(more), "lists")
+        tmp.drop(postings, tokens)
+        named = self.classes.select("cls", "cid").join(lists.select("cid").distinct(), "cid")
+        named = tmp.staged(named, "named")
+        self.lists = tmp.staged(lists.join(named, "cid").select("cls", "n", "token"), "named_lists")
+        tmp.drop(lists)
+
+        able = tmp.staged(named.select(F.col("cls").alias("doc_id")).distinct(), "able")
+        kept = narrowed(docs, "doc_id", able).join(able, "doc_id", "left_semi")
+        self.sets = tmp.staged(kept.mapInArrow(_sets(percent), "cls bigint, cid bigint, tokens array<bigint>, high array<int>, other array<int>"), "sets")
+        if not self.scan.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():  # rows that repeat id and text
+            self.sets = tmp.staged(self.sets.dropDuplicates(["cls", "cid"]), "sets_once")
 
     def fits(self) -> str:
         """Sizes (n, m) of a pair that could link."""
@@ -131,7 +175,7 @@ class _Join:
         """
         tmp = self.tmp
         of = lambda end, *cols: self.sets.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in cols))
-        passed = pairs.join(of("b", "low", "high"), "b").join(of("a", "low", "high"), "a").where(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b"))
+        passed = pairs.join(of("b", "high", "other"), "b").join(of("a", "high", "other"), "a").where(F.arrays_overlap("high_a", "high_b") & F.arrays_overlap("other_a", "other_b"))
         passed = tmp.staged(passed.select("a", "b"), "passed")
         both = passed.join(of("b", "tokens"), "b").join(of("a", "tokens"), "a")
         both = both.select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("c"), (F.size("tokens_a") + F.size("tokens_b")).alias("total"))
@@ -149,11 +193,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Method. Copies of a set are one class (a pre-aggregated group-by on a digest).
     Linked sets share a token of their prefixes under any order of all tokens;
-    three are used. By hash, on documents: tokens in one long prefix only drop
-    out, and so do classes with too few others. By frequency, rarest first: a
-    pair is a candidate if it shares a token of that prefix. By hash and by hash
-    in reverse, on pairs: a candidate must share a prefix token in both, before
-    its sets are fetched and compared in full.
+    three are used. By frequency (by hash, but the HEAVY tokens that most sets
+    share come last): a pair is a candidate if it shares a token of that prefix.
+    By the hash in reverse and by another hash: a candidate must share a prefix
+    token in both as well, tested on narrow rows, before its sets are fetched and
+    compared in full.
 
     A list holds the classes with one token in their frequency prefix. In two
     rounds each list proposes links to one leader, which joins most of a group of

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, bound_batches, staged
+from .common import Scratch, bound_batches, narrowed, staged
 from .words import mix, powers, slices
 
-#: Line digests are filtered by their remainder before texts move: at most so many are broadcast.
-RESIDUES = 1 << 20
 #: Keys that are worked out and sent on at once.
 CHUNK = 1 << 16
 #: Code of the wildcard, beyond all characters.
@@ -189,9 +187,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if edits:
             live = tmp.staged(_shared_by_two(rows.select("h1", F.explode("keys").alias("key"))), "shared")
             # lines are read again; a bounded filter goes before the join that moves their text
-            rest = F.broadcast(live.select(F.pmod("h1", F.lit(RESIDUES)).alias("r")).distinct())
-            again = lines_of(src).select("line", h1.alias("h1"), h2.alias("h2"))
-            again = again.join(rest, F.pmod("h1", F.lit(RESIDUES)) == F.col("r"), "left_semi").join(live, "h1", "left_semi")
+            again = narrowed(lines_of(src).select("line", h1.alias("h1"), h2.alias("h2")), "h1", live).join(live, "h1", "left_semi")
             live = tmp.staged(again.groupBy("h1", "h2").agg(F.first("line").alias("line")), "piece_lines")
             live = live.join(_shared_by_two(live.mapInArrow(_letters(edits), "h1 long, key long")), "h1", "left_semi")
             live = tmp.staged(live.join(firsts, ["h1", "h2"]), "live_lines")

@@ -131,13 +131,18 @@ def test_jaccard_orders():
         n = int(r.integers(1, 200))
         x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
         y = np.unique(np.concatenate([x[r.random(len(x)) < r.uniform(0.5, 1)], r.integers(0, 2**63, int(r.integers(0, 1 + n // 8))).astype(np.uint64)]))
+        heavy = np.unique(np.concatenate([x[::3], y[::5]]))
+        rank = r.permutation(len(heavy))
+        orders = (lambda s: jaccard.by_frequency(s, heavy, rank), lambda s: s[::-1], jaccard.other_order)  # noqa: B023
         common = len(np.intersect1d(x, y))
-        both = [len(np.intersect1d(jaccard.marks(jaccard.prefix(s, 80)), jaccard.marks(jaccard.prefix(t, 80)))) for s, t in ((x, y), (x[::-1], y[::-1]))]
-        more = len(np.intersect1d(jaccard.prefix(x, 80, jaccard._spare(len(x))), jaccard.prefix(y, 80, jaccard._spare(len(y)))))
-        if common and 100 * common >= 80 * (len(x) + len(y) - common):
-            assert min(both) >= 1 and more >= max(1, max(jaccard.least_overlap(len(x), 80), jaccard.least_overlap(len(y), 80)) // 10)
+        for order in orders:
+            assert sorted(order(x).tolist()) == x.tolist()
+            if common and 100 * common >= 80 * (len(x) + len(y) - common):
+                assert len(np.intersect1d(jaccard.marks(jaccard.prefix(order(x), 80)), jaccard.marks(jaccard.prefix(order(y), 80))))
         z = np.unique(np.concatenate([x[:1], r.integers(0, 2**63, n).astype(np.uint64)]))
         lost += not len(np.intersect1d(jaccard.prefix(x[::-1], 80), jaccard.prefix(z[::-1], 80)))
+    key = b"\x01\x02\xff\x80\x00\x11\x22\xfe" + b"x" * 8
+    assert jaccard._class(key) == int.from_bytes(key[:8], "little", signed=True) < 0
     assert lost > 300
 
 
