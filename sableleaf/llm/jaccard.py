@@ -12,14 +12,16 @@ from .common import Scratch, bound_batches, narrowed, staged
 from .components import connected_components
 from .words import mix, ragged, shingle_sets, slices
 
+#: Tokens of all sets for each bucket that long prefixes (three in ten of them) are dealt to.
+BUCKET_TOKENS = 1_000_000
 #: Tokens that come last in the order by frequency, at most; they are broadcast.
 HEAVY = 1 << 16
 #: Tokens that a run of texts reports as shared by several, at most: the most frequent.
 SLICE_HEAVY = 1 << 12
 #: Rounds in which a list's members meet one leader each, before leaders are taken off the lists.
 LEADER_ROUNDS = 2
-#: The leaders of a list in the rounds after those: so many times the round before.
-MORE_LEADERS = 4
+#: The leaders of a list in the first round after those, and how many times more in each later one.
+FIRST_LEADERS, MORE_LEADERS = 4, 8
 
 
 def least_overlap(n, percent: int):
@@ -27,10 +29,19 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens under an order, so many that linked sets share one of them at the least."""
+def prefix(tokens: np.ndarray, percent: int, more: int = 1) -> np.ndarray:
+    """The first tokens under an order, so many that linked sets share `more` of them at the least."""
     n = len(tokens)
-    return tokens[: n - int(least_overlap(n, percent)) + 1] if n else tokens
+    return tokens[: n - int(least_overlap(n, percent)) + more] if n else tokens
+
+
+def spare(n, percent: int):
+    """Tokens of the long prefix by hash that a set of n shares with the long prefix of any set it links to.
+
+    A prefix is max(1, n // 10) - 1 tokens longer than needed for one; a partner
+    has least_overlap(n) tokens at the least.
+    """
+    return np.maximum(1, least_overlap(n, percent) // 10)
 
 
 def by_frequency(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -61,36 +72,97 @@ def _class(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def _scan(batches):
-    """Size and digest of each set; the first row of a run of texts also has the tokens that several of its sets share, and how many."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = shingle_sets(part.column("text"))
-            keys = [_digest(s) if len(s) else None for s in sets]
-            once = list({k: s for k, s in zip(keys, sets, strict=True) if k}.values())
-            token, times = np.unique(np.concatenate([*once, np.zeros(0, np.uint64)]), return_counts=True)
-            often = np.flatnonzero(times > 1)
-            often = often[np.argsort(-times[often], kind="stable")][:SLICE_HEAVY]
-            none = [np.zeros(0, np.int64)] * (part.num_rows - 1)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([k and _class(k) for k in keys], pa.int64()), ragged([token[often], *none], pa.int64()), ragged([times[often], *none], pa.int64())],
-                ["doc_id", "n_shingles", "set_key", "cid", "often", "times"],
-            )
+def _scan(percent: int):
+    """Size, digest and long prefix of each set; the first row of a run of texts also has the tokens that several of its sets share, and how many."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column("text"))
+                keys = [_digest(s) if len(s) else None for s in sets]
+                once = list({k: s for k, s in zip(keys, sets, strict=True) if k}.values())
+                token, times = np.unique(np.concatenate([*once, np.zeros(0, np.uint64)]), return_counts=True)
+                often = np.flatnonzero(times > 1)
+                often = often[np.argsort(-times[often], kind="stable")][:SLICE_HEAVY]
+                none = [np.zeros(0, np.int64)] * (part.num_rows - 1)
+                long = [prefix(s, percent, max(1, len(s) // 10)) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([k and _class(k) for k in keys], pa.int64()), ragged(long, pa.int64()), ragged([token[often], *none], pa.int64()), ragged([times[often], *none], pa.int64())],
+                    ["doc_id", "n_shingles", "set_key", "cid", "prefix", "often", "times"],
+                )
+
+    return run
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of arrays, and the length of each."""
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
+def _scatter(buckets: int):
+    """Pack the long prefixes of a batch by bucket of tokens: a row for each bucket, not for each token.
+
+    A token that several classes of the batch have is known to be shared: its
+    classes are told at once (bucket -1 - x), and one entry, without a class,
+    tells the token's bucket. So a hot token's entries are as many as the batches.
+    """
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cid = batch.column("cid").to_numpy()
+            cid, first = np.unique(cid, return_index=True)
+            token, size = _flat(batch.column("prefix").take(pa.array(first)))
+            of = np.repeat(cid, size)
+            order = np.argsort(token, kind="stable")
+            token, of = token[order], of[order]
+            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            many = np.diff(np.append(start, len(token))) > 1
+            told = of[np.repeat(many, np.diff(np.append(start, len(token))))]
+            token, of = token[start], np.where(many, 0, of[start])
+            where = token.view(np.uint64) % np.uint64(buckets)
+            order = np.argsort(where, kind="stable")
+            token, of, where = token[order], of[order], where[order]
+            cut = np.searchsorted(where, np.arange(buckets + 1).astype(np.uint64))
+            full = np.flatnonzero(np.diff(cut))
+            rows = [(int(b), token[cut[b] : cut[b + 1]].tobytes(), of[cut[b] : cut[b + 1]].tobytes()) for b in full]
+            if len(told):
+                rows.append((-1 - int(cid[0]) % buckets, b"", told.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "token", "cid"])
+
+    return run
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """A row (cid) for each class and token of a bucket that another class has too."""
+    token = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group.column("token")])
+    cid = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group.column("cid")])
+    if not len(token):
+        return pa.table({"cid": pa.array(cid)})
+    order = np.lexsort((cid, token))
+    token, cid = token[order], cid[order]
+    new = np.append(True, token[1:] != token[:-1])
+    other = new | np.append(True, cid[1:] != cid[:-1])
+    token, cid = token[other], cid[other]
+    _, back, count = np.unique(token, return_inverse=True, return_counts=True)
+    known = np.bincount(back, cid == 0) > 0  # shared within a batch
+    return pa.table({"cid": pa.array(cid[((count > 1) | known)[back] & (cid != 0)])})
 
 
 def _postings(percent: int, held):
-    """(token, cid, n) of the tokens in each set's prefix under the order by frequency."""
+    """(token, cls, n) of the tokens in each set's prefix under the order by frequency."""
 
     def run(batches):
         heavy, rank = held.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                own = {_class(_digest(s)): s for s, i in zip(shingle_sets(part.column("text")), part.column("doc_id"), strict=True) if len(s) and i.is_valid}
-                if own:
-                    tokens = [prefix(by_frequency(s, heavy, rank), percent) for s in own.values()]
-                    size = [len(t) for t in tokens]
-                    cid, n = np.array(list(own), np.int64), np.array([len(s) for s in own.values()], np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(cid, size)), pa.array(np.repeat(n, size))], ["token", "cid", "n"])
+            flat, size = _flat(batch.column("tokens"))
+            if not len(size):
+                continue
+            own = np.split(flat.view(np.uint64), np.cumsum(size)[:-1])
+            tokens = [prefix(by_frequency(s, heavy, rank), percent) for s in own]
+            k = [len(t) for t in tokens]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(batch.column("cls").to_numpy(), k)), pa.array(np.repeat(size, k).astype(np.int32))], ["token", "cls", "n"])
 
     return run
 
@@ -137,32 +209,30 @@ class _Join:
         spark = docs.sparkSession
         bound_batches(spark)
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.scan = tmp.staged(docs.mapInArrow(_scan, "doc_id long, n_shingles long, set_key binary, cid long, often array<bigint>, times array<bigint>"), "shingles")
+        self.scan = tmp.staged(docs.mapInArrow(_scan(percent), "doc_id long, n_shingles long, set_key binary, cid long, prefix array<bigint>, often array<bigint>, times array<bigint>"), "shingles")
         full = self.scan.where("n_shingles > 0 and doc_id is not null")
-        self.classes = tmp.staged(full.groupBy("set_key").agg(F.min("doc_id").alias("cls"), F.first("cid").alias("cid")), "classes")
-        held = spark.sparkContext.broadcast(_heavy(self.scan))
-
-        # the order by frequency: lists of the classes that share a token of their prefixes
-        postings = tmp.staged(docs.mapInArrow(_postings(percent, held), "token long, cid long, n int"), "postings")
-        held.destroy()
-        end = F.struct("cid", "n")
-        tokens = tmp.staged(postings.groupBy("token").agg(F.count("*").alias("c"), F.min(end).alias("a"), F.max(end).alias("b")).where("a <> b"), "tokens")
-        two = tokens.where("c = 2").select("token", F.explode(F.array("a", "b")).alias("x")).select("token", "x.cid", "x.n")
-        more = tokens.where("c > 2").select("token")
-        more = narrowed(postings, "token", more).join(more, "token").select("token", "cid", "n").distinct()
-        lists = tmp.staged(two.unionByName(more), "lists")
-        tmp.drop(postings, tokens)
-        named = self.classes.select("cls", "cid").join(lists.select("cid").distinct(), "cid")
-        named = tmp.staged(named, "named")
-        self.lists = tmp.staged(lists.join(named, "cid").select("cls", "n", "token"), "named_lists")
-        tmp.drop(lists)
-
-        able = tmp.staged(named.select(F.col("cls").alias("doc_id")).distinct(), "able")
+        self.classes = tmp.staged(full.groupBy("set_key").agg(F.min("doc_id").alias("cls"), F.first("cid").alias("cid"), F.min("n_shingles").alias("n")), "classes")
+
+        # the order by hash, on documents: classes whose long prefix shares too few tokens with others' drop out
+        total = self.classes.agg(F.sum("n")).first()[0] or 0
+        buckets = int(total // BUCKET_TOKENS) + 1
+        packed = full.select("cid", "prefix").mapInArrow(_scatter(buckets), "bucket int, token binary, cid binary")
+        hits = packed.groupBy("bucket").applyInArrow(_shared, "cid long").groupBy("cid").agg(F.count("*").alias("k"))
+        least = F.greatest(F.lit(1), F.expr(f"int(ceil({percent} * n / 100)) div 10"))
+        able = tmp.staged(hits.join(self.classes, "cid").where(F.col("k") >= least).select(F.col("cls").alias("doc_id")).distinct(), "able")
         kept = narrowed(docs, "doc_id", able).join(able, "doc_id", "left_semi")
         self.sets = tmp.staged(kept.mapInArrow(_sets(percent), "cls bigint, cid bigint, tokens array<bigint>, high array<int>, other array<int>"), "sets")
         if not self.scan.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():  # rows that repeat id and text
             self.sets = tmp.staged(self.sets.dropDuplicates(["cls", "cid"]), "sets_once")
 
+        # the order by frequency: lists of the classes that share a token of their prefixes
+        held = spark.sparkContext.broadcast(_heavy(self.scan))
+        postings = tmp.staged(self.sets.select("cls", "tokens").mapInArrow(_postings(percent, held), "token long, cls long, n int"), "postings")
+        held.destroy()
+        tokens = tmp.staged(postings.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("token"), "tokens")
+        self.lists = tmp.staged(narrowed(postings, "token", tokens).join(tokens, "token").select("cls", "n", "token"), "lists")
+        tmp.drop(postings, tokens)
+
     def fits(self) -> str:
         """Sizes (n, m) of a pair that could link."""
         return f"100 * least(n, m) >= {self.percent} * greatest(n, m)"
@@ -193,7 +263,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Method. Copies of a set are one class (a pre-aggregated group-by on a digest).
     Linked sets share a token of their prefixes under any order of all tokens;
-    three are used. By frequency (by hash, but the HEAVY tokens that most sets
+    four are used. By hash, on documents: classes stay whose long prefix has
+    enough tokens that are in others', too. By frequency (by hash, but the HEAVY tokens that most sets
     share come last): a pair is a candidate if it shares a token of that prefix.
     By the hash in reverse and by another hash: a candidate must share a prefix
     token in both as well, tested on narrow rows, before its sets are fetched and
@@ -202,7 +273,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A list holds the classes with one token in their frequency prefix. In two
     rounds each list proposes links to one leader, which joins most of a group of
     copies; then lists still in different components meet more and more leaders,
-    four times as many each round, and a leader that its list has met is taken
+    eight times as many each round, and a leader that its list has met is taken
     off it. A list is done when one component is left in it, so no link between
     components is lost, and groups of copies never expand into all pairs.
 
@@ -214,7 +285,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     with Scratch(docs.sparkSession) as tmp:
         j = _Join(tmp, docs, id_col, text_col, percent)
-        lists, turn, leaders = j.lists, 0, 1
+        lists, turn = j.lists, 0
         comps = tmp.staged(lists.select("cls", F.col("cls").alias("comp")).distinct(), "comps")
         while True:
             open_ = lists.select("cls", "n", "token").join(comps, "cls")
@@ -225,6 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if open_.isEmpty():
                 break
             one = turn < LEADER_ROUNDS
+            leaders = 1 if one else FIRST_LEADERS * MORE_LEADERS ** (turn - LEADER_ROUNDS)
             rank = F.struct("cls", "n", "comp") if not turn else F.struct(F.xxhash64("cls", F.lit(turn)), "cls", "n", "comp")
             lead = open_.groupBy("token", F.pmod(F.xxhash64("cls"), F.lit(leaders)).alias("place")).agg(F.min(rank).alias("x"))
             lead = lead.select("token", F.col("x.cls").alias("a"), F.col("x.n").alias("m"), F.col("x.comp").alias("c"))
@@ -239,7 +311,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             else:
                 lists = tmp.staged(open_.join(lead.select("token", F.col("a").alias("cls")), ["token", "cls"], "left_anti"), "lists")
                 tmp.drop(open_)
-                leaders *= MORE_LEADERS
             turn += 1
             if not found.isEmpty():
                 # only components that a link joins are renamed

@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,24 @@ def test_jaccard_orders():
     key = b"\x01\x02\xff\x80\x00\x11\x22\xfe" + b"x" * 8
     assert jaccard._class(key) == int.from_bytes(key[:8], "little", signed=True) < 0
     assert lost > 300
+    for n in range(1, 400):  # the long prefix: whatever its size, a partner's is no shorter than the counts need
+        for m in range(int(jaccard.least_overlap(n, 80)), n + 1):
+            assert jaccard.spare(n, 80) <= min(max(1, n // 10), max(1, m // 10)) and jaccard.spare(m, 80) <= max(1, m // 10)
+
+
+def test_jaccard_shared_prefix_tokens():
+    """Classes are told every long-prefix token that another class has: within a batch, across batches, copies apart."""
+    r = np.random.default_rng(3)
+    rows = [(int(c), np.unique(r.integers(0, 60, 8)).astype(np.int64)) for c in range(1, 40)]
+    rows += [rows[0], rows[5]] + [(100 + i, np.array([10**6 + i])) for i in range(5)]
+    packed = [p for k in range(0, len(rows), 7) for p in jaccard._scatter(3)([pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows[k : k + 7]]), pa.array([t.tolist() for _, t in rows[k : k + 7]])], ["cid", "prefix"])])]
+    all_ = pa.Table.from_batches(packed)
+    told = Counter()
+    for b in set(all_.column("bucket").to_pylist()):
+        told.update(jaccard._shared(all_.filter(pa.compute.equal(all_.column("bucket"), b))).column("cid").to_pylist())
+    for c, tokens in dict(rows).items():
+        want = sum(any(t in other.tolist() for d, other in rows if d != c) for t in tokens.tolist())
+        assert want <= told[c] <= (want if c not in (1, 6) else 2 * want)
 
 
 def test_jaccard_repeated_rows(spark):
