@@ -14,10 +14,8 @@ from .words import mix, ragged, shingle_sets, slices
 
 #: Tokens of all sets for each bucket that long prefixes (three in ten of them) are dealt to.
 BUCKET_TOKENS = 1_000_000
-#: Tokens that come last in the order by frequency, at most; they are broadcast.
-HEAVY = 1 << 16
-#: Tokens that a run of texts reports as shared by several, at most: the most frequent.
-SLICE_HEAVY = 1 << 12
+#: Bits of a set's signature: the parity of its tokens by hash.
+SIGNATURE = 1024
 #: Rounds in which a list's members meet one leader each, before leaders are taken off the lists.
 LEADER_ROUNDS = 2
 #: The leaders of a list in the first round after those, and how many times more in each later one.
@@ -44,15 +42,6 @@ def spare(n, percent: int):
     return np.maximum(1, least_overlap(n, percent) // 10)
 
 
-def by_frequency(tokens: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A set (sorted) in the order by frequency: by hash, but heavy tokens (sorted; with their ranks) last, by rank."""
-    if not len(heavy) or not len(tokens):
-        return tokens
-    at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-    late = heavy[at] == tokens
-    return np.concatenate([tokens[~late], tokens[late][np.argsort(rank[at[late]])]])
-
-
 def marks(tokens: np.ndarray) -> np.ndarray:
     """32-bit marks of tokens: equal tokens have equal marks."""
     return (tokens >> np.uint64(7)).astype(np.uint32)
@@ -73,22 +62,17 @@ def _class(key: bytes) -> int:
 
 
 def _scan(percent: int):
-    """Size, digest and long prefix of each set; the first row of a run of texts also has the tokens that several of its sets share, and how many."""
+    """Size, digest and long prefix of each set."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"))
                 keys = [_digest(s) if len(s) else None for s in sets]
-                once = list({k: s for k, s in zip(keys, sets, strict=True) if k}.values())
-                token, times = np.unique(np.concatenate([*once, np.zeros(0, np.uint64)]), return_counts=True)
-                often = np.flatnonzero(times > 1)
-                often = often[np.argsort(-times[often], kind="stable")][:SLICE_HEAVY]
-                none = [np.zeros(0, np.int64)] * (part.num_rows - 1)
                 long = [prefix(s, percent, max(1, len(s) // 10)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([k and _class(k) for k in keys], pa.int64()), ragged(long, pa.int64()), ragged([token[often], *none], pa.int64()), ragged([times[often], *none], pa.int64())],
-                    ["doc_id", "n_shingles", "set_key", "cid", "prefix", "often", "times"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([k and _class(k) for k in keys], pa.int64()), ragged(long, pa.int64())],
+                    ["doc_id", "n_shingles", "set_key", "cid", "prefix"],
                 )
 
     return run
@@ -150,25 +134,17 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.table({"cid": pa.array(cid[((count > 1) | known)[back] & (cid != 0)])})
 
 
-def _postings(percent: int, held):
-    """(token, cls, n) of the tokens in each set's prefix under the order by frequency."""
+_SIG = [f"s{k}" for k in range(SIGNATURE // 64)]
 
-    def run(batches):
-        heavy, rank = held.value
-        for batch in batches:
-            flat, size = _flat(batch.column("tokens"))
-            if not len(size):
-                continue
-            own = np.split(flat.view(np.uint64), np.cumsum(size)[:-1])
-            tokens = [prefix(by_frequency(s, heavy, rank), percent) for s in own]
-            k = [len(t) for t in tokens]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(batch.column("cls").to_numpy(), k)), pa.array(np.repeat(size, k).astype(np.int32))], ["token", "cls", "n"])
 
-    return run
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each bit, as 64-bit words: two sets differ in as many tokens as their signatures do in bits, or more."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _sets(percent: int):
-    """Whole sets, and marks of their prefixes under two orders by hash."""
+    """Whole sets, marks of their prefixes under two orders by hash, and signatures."""
 
     def run(batches):
         for batch in batches:
@@ -176,31 +152,13 @@ def _sets(percent: int):
                 sets = shingle_sets(part.column("text"))
                 rows = [part.column("doc_id"), pa.array([_class(_digest(s)) for s in sets], pa.int64()), ragged(sets, pa.int64())]
                 rows += [ragged([marks(prefix(order(s), percent)) for s in sets], pa.int32()) for order in (lambda s: s[::-1], other_order)]
-                yield pa.RecordBatch.from_arrays(rows, ["cls", "cid", "tokens", "high", "other"])
+                sig = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, len(_SIG)), np.int64)
+                rows += [pa.array(np.ascontiguousarray(sig[:, k])) for k in range(len(_SIG))]
+                yield pa.RecordBatch.from_arrays(rows, ["cls", "cid", "tokens", "high", "other", *_SIG])
 
     return run
 
 
-def _heavy(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens found in many sets, HEAVY at the most, sorted, and their ranks by frequency.
-
-    Any such list makes a valid order; this one keeps the tokens that most sets
-    share out of the prefixes.
-    """
-    seen = scan.where("size(often) > 0").select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy(F.col("x.often").alias("token")).agg(F.sum("x.times").alias("times"))
-    levels = {r["level"]: r["c"] for r in seen.groupBy(F.floor(F.log2("times")).alias("level")).agg(F.count("*").alias("c")).collect()}
-    least, total = 1 << 62, 0
-    for level in sorted(levels, reverse=True):
-        total += levels[level]
-        if total > HEAVY:
-            break
-        least = 1 << level
-    rows = sorted((r["times"], r["token"]) for r in seen.where(F.col("times") >= least).collect())
-    token = np.array([t for _, t in rows], np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], order
-
-
 class _Join:
     """The join's tables: scanned rows, classes of equal sets, lists of classes by token, and the sets of those."""
 
@@ -209,7 +167,7 @@ class _Join:
         spark = docs.sparkSession
         bound_batches(spark)
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        self.scan = tmp.staged(docs.mapInArrow(_scan(percent), "doc_id long, n_shingles long, set_key binary, cid long, prefix array<bigint>, often array<bigint>, times array<bigint>"), "shingles")
+        self.scan = tmp.staged(docs.mapInArrow(_scan(percent), "doc_id long, n_shingles long, set_key binary, cid long, prefix array<bigint>"), "shingles")
         full = self.scan.where("n_shingles > 0 and doc_id is not null")
         self.classes = tmp.staged(full.groupBy("set_key").agg(F.min("doc_id").alias("cls"), F.first("cid").alias("cid"), F.min("n_shingles").alias("n")), "classes")
 
@@ -221,21 +179,26 @@ class _Join:
         least = F.greatest(F.lit(1), F.expr(f"int(ceil({percent} * n / 100)) div 10"))
         able = tmp.staged(hits.join(self.classes, "cid").where(F.col("k") >= least).select(F.col("cls").alias("doc_id")).distinct(), "able")
         kept = narrowed(docs, "doc_id", able).join(able, "doc_id", "left_semi")
-        self.sets = tmp.staged(kept.mapInArrow(_sets(percent), "cls bigint, cid bigint, tokens array<bigint>, high array<int>, other array<int>"), "sets")
+        self.sets = tmp.staged(kept.mapInArrow(_sets(percent), "cls bigint, cid bigint, tokens array<bigint>, high array<int>, other array<int>, " + ", ".join(f"{c} long" for c in _SIG)), "sets")
         if not self.scan.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():  # rows that repeat id and text
             self.sets = tmp.staged(self.sets.dropDuplicates(["cls", "cid"]), "sets_once")
 
-        # the order by frequency: lists of the classes that share a token of their prefixes
-        held = spark.sparkContext.broadcast(_heavy(self.scan))
-        postings = tmp.staged(self.sets.select("cls", "tokens").mapInArrow(_postings(percent, held), "token long, cls long, n int"), "postings")
-        held.destroy()
-        tokens = tmp.staged(postings.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("token"), "tokens")
-        self.lists = tmp.staged(narrowed(postings, "token", tokens).join(tokens, "token").select("cls", "n", "token"), "lists")
-        tmp.drop(postings, tokens)
+        # the order by frequency among those, rarest first: tokens of one set only lead it and can't be shared
+        one = self.sets.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+        many = one.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+        own = one.join(many, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+        least = F.expr(f"int(ceil({percent} * n / 100))")
+        lists = own.where(F.size("own") >= least).select("cls", "n", F.explode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("x"))
+        self.lists = tmp.staged(lists.select("cls", "n", F.col("x.token").alias("token")), "lists")
+
+    def marked(self, lists: DataFrame) -> DataFrame:
+        """Lists with their classes' signatures."""
+        return lists.join(self.sets.select("cls", *_SIG), "cls")
 
-    def fits(self) -> str:
-        """Sizes (n, m) of a pair that could link."""
-        return f"100 * least(n, m) >= {self.percent} * greatest(n, m)"
+    def near(self) -> str:
+        """Whether a pair's sizes (n, m) and signatures let it link: the tokens that it differs in are no fewer than the bits."""
+        differ = " + ".join(f"bit_count({c} ^ z{c})" for c in _SIG)
+        return f"100 * least(n, m) >= {self.percent} * greatest(n, m) and {100 + self.percent} * ({differ}) <= {100 - self.percent} * (n + m)"
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b), of classes with a common token under the order by frequency, that are links.
@@ -264,11 +227,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Method. Copies of a set are one class (a pre-aggregated group-by on a digest).
     Linked sets share a token of their prefixes under any order of all tokens;
     four are used. By hash, on documents: classes stay whose long prefix has
-    enough tokens that are in others', too. By frequency (by hash, but the HEAVY tokens that most sets
-    share come last): a pair is a candidate if it shares a token of that prefix.
-    By the hash in reverse and by another hash: a candidate must share a prefix
-    token in both as well, tested on narrow rows, before its sets are fetched and
-    compared in full.
+    enough tokens that are in others', too. By frequency among those, rarest
+    first: a pair is a candidate if it shares a token of that prefix, and sizes
+    and signatures let it link. By the hash in reverse and by another hash: a
+    candidate must share a prefix token in both as well, tested on narrow rows,
+    before its sets are fetched and compared in full.
 
     A list holds the classes with one token in their frequency prefix. In two
     rounds each list proposes links to one leader, which joins most of a group of
@@ -291,25 +254,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             open_ = lists.select("cls", "n", "token").join(comps, "cls")
             # lists whose members are still in different components
             mixed = open_.groupBy("token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("token")
-            open_ = tmp.staged(open_.join(mixed, "token"), "open")
+            open_ = tmp.staged(j.marked(open_.join(mixed, "token")), "open")
             tmp.drop(lists)
             if open_.isEmpty():
                 break
             one = turn < LEADER_ROUNDS
             leaders = 1 if one else FIRST_LEADERS * MORE_LEADERS ** (turn - LEADER_ROUNDS)
-            rank = F.struct("cls", "n", "comp") if not turn else F.struct(F.xxhash64("cls", F.lit(turn)), "cls", "n", "comp")
-            lead = open_.groupBy("token", F.pmod(F.xxhash64("cls"), F.lit(leaders)).alias("place")).agg(F.min(rank).alias("x"))
-            lead = lead.select("token", F.col("x.cls").alias("a"), F.col("x.n").alias("m"), F.col("x.comp").alias("c"))
-            pairs = open_.join(lead, "token").where(f"comp <> c and {j.fits()}")
+            rank = F.struct("cls") if not turn else F.struct(F.xxhash64("cls", F.lit(turn)), "cls")
+            lead = open_.groupBy("token", F.pmod(F.xxhash64("cls"), F.lit(leaders)).alias("place")).agg(F.min(rank)["cls"].alias("a")).select("token", "a")
+            far = open_.select(F.col("cls").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), *(F.col(c).alias(f"z{c}") for c in _SIG)).distinct()
+            pairs = open_.join(lead.join(far, "a"), "token").where(f"comp <> c and {j.near()}")
             if one:
                 pairs = pairs.groupBy(F.col("cls").alias("b")).agg(F.min("a").alias("a"))
             else:
                 pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
             found = j.linked(pairs)
             if one:
-                lists = open_
+                lists = open_.drop(*_SIG)
+                lists._scratch = open_._scratch
             else:
-                lists = tmp.staged(open_.join(lead.select("token", F.col("a").alias("cls")), ["token", "cls"], "left_anti"), "lists")
+                lists = tmp.staged(open_.drop(*_SIG, "comp").join(lead.select("token", F.col("a").alias("cls")), ["token", "cls"], "left_anti"), "lists")
                 tmp.drop(open_)
             turn += 1
             if not found.isEmpty():
@@ -345,8 +309,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     with Scratch(docs.sparkSession) as tmp:
         j = _Join(tmp, docs, id_col, text_col, percent)
-        other = j.lists.select("token", F.col("cls").alias("a"), F.col("n").alias("m"))
-        pairs = j.lists.join(other, "token").where(f"a < cls and {j.fits()}").select("a", F.col("cls").alias("b")).distinct()
+        own = tmp.staged(j.marked(j.lists), "open")
+        other = own.select("token", F.col("cls").alias("a"), F.col("n").alias("m"), *(F.col(c).alias(f"z{c}") for c in _SIG))
+        pairs = own.join(other, "token").where(f"a < cls and {j.near()}").select("a", F.col("cls").alias("b")).distinct()
         return staged(j.linked(pairs), "links")
 
 
