@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sableleaf.errors import InvalidArgument, Locked, NotFound
+from sableleaf.errors import Conflict, InvalidArgument, Locked, NotFound
 from sableleaf.functions import refs
 from sableleaf.functions.paths import array_push, remove_path, set_path
 from sableleaf.operators import maintenance
@@ -22,6 +22,10 @@ from sableleaf.sources.buckets import Buckets
 
 _ALPHABET = string.digits + string.ascii_uppercase + string.ascii_lowercase
 ID_CHARS = 16
+#: Times that an append is tried while others commit.
+RETRIES = 20
+#: Seconds after which a claim on a manifest's number that came to nothing is void.
+CLAIM_S = 60
 
 
 def new_id(prefix: str | None = None) -> str:
@@ -37,37 +41,73 @@ def is_valid_id(id_: str) -> bool:
 class Database:
     """Batches of log entries are folders; the manifest names those that count, in order.
 
-    A write commits by replacing the manifest, so readers see whole batches. Reads
-    replay the log as Spark jobs and stay lazy.
+    Manifests are numbered files, the highest counts. A write commits by creating
+    the next one, which fails if another writer has: that write raises Conflict and
+    changes nothing. A manifest is written in full before it gets its name, so
+    readers see whole batches and a crash leaves the one before. Reads replay the
+    log as Spark jobs and stay lazy.
     """
 
     def __init__(self, spark: SparkSession, path: str, create: bool = True):
         self.spark, self.path = log.configure(spark), path.rstrip("/")
         self.files = Buckets(spark, self.path)
         self.fs, self._at = self.files._fs(), self.files._path
-        if not self.fs.exists(self._at("manifest.json")):
-            if not create:
-                raise NotFound(path)
-            self._save({"version": 1, "created": str(int(time.time())), "buckets": [], "log": [], "trash": []})
+        if self._version() is None:
+            if not create or self._holds_data():
+                raise NotFound(f"{path} has no manifest")
+            self._save({"version": 1, "created": str(int(time.time())), "buckets": [], "log": [], "trash": []}, 0)
 
     # the manifest ----------------------------------------------------------
+    def _version(self) -> int | None:
+        """The number of the manifest that counts."""
+        folder = self._at("manifests")
+        if not self.fs.exists(folder):
+            return None
+        found = [int(n[:-5]) for s in self.fs.listStatus(folder) if (n := s.getPath().getName()).endswith(".json") and n[:-5].isdigit()]
+        return max(found, default=None)
+
+    def _holds_data(self) -> bool:
+        """Whether batches or manifests are there that no manifest names: never cover them by an empty database."""
+        return any(self.fs.exists(self._at(x)) and len(self.fs.listStatus(self._at(x))) for x in ("log", "trash", "manifests"))
+
+    def _load(self) -> tuple[dict, int]:
+        """The manifest and its number."""
+        number = self._version()
+        if number is None:
+            raise NotFound(self.path)
+        text = "\n".join(r["value"] for r in self.spark.read.option("wholetext", True).text(self._at("manifests", f"{number:010d}.json").toString()).collect())
+        return json.loads(text), number
+
     def manifest(self) -> dict:
-        text = "\n".join(r["value"] for r in self.spark.read.option("wholetext", True).text(self._at("manifest.json").toString()).collect())
-        return json.loads(text)
-
-    def _save(self, m: dict) -> None:
-        temp = self._at(f".manifest-{uuid.uuid4().hex}")
-        self.fs.mkdirs(self._at())
-        out = self.fs.create(temp, True)
-        out.write(bytearray(log.dumps(m).encode()))
-        out.close()
-        target = self._at("manifest.json")
-        old = self._at(f".manifest-{uuid.uuid4().hex}.old")
-        if self.fs.exists(target):
-            self.fs.rename(target, old)
-        self.fs.rename(temp, target)
-        if self.fs.exists(old):
-            self.fs.delete(old, False)
+        return self._load()[0]
+
+    def _save(self, m: dict, number: int) -> None:
+        """Create the manifest of that number; Conflict if there is one."""
+        self.fs.mkdirs(self._at("manifests"))
+        target, temp = self._at("manifests", f"{number:010d}.json"), self._at("manifests", f".{uuid.uuid4().hex}.tmp")
+        claim = self._at("manifests", f".{number:010d}.claim")
+        if self.fs.exists(claim) and time.time() * 1000 - self.fs.getFileStatus(claim).getModificationTime() > CLAIM_S * 1000:
+            self.fs.delete(claim, False)  # left by a writer that died
+        if self.fs.exists(target) or not self.fs.createNewFile(claim):
+            raise Conflict(f"manifest {number}")
+        try:
+            out = self.fs.create(temp, False)
+            out.write(bytearray(log.dumps(m).encode()))
+            out.close()
+            if not self.fs.rename(temp, target):
+                raise Conflict(f"manifest {number}")
+        except BaseException:
+            self.fs.delete(temp, False)
+            self.fs.delete(claim, False)  # nothing was committed: the number is free again
+            raise
+
+    def _commit(self, change) -> dict:
+        """Read the manifest, change it, and save it as the next one."""
+        self._writable()
+        m, number = self._load()
+        change(m)
+        self._save(m, number + 1)
+        return m
 
     def _writable(self) -> None:
         for name in (".lock", ".readonly"):
@@ -77,26 +117,41 @@ class Database:
     # batches ------------------------------------------------------------------
     def _append(self, lines: list[str] | DataFrame, kind: str = "log") -> None:
         self._writable()
-        m = self.manifest()
-        name = f"{kind}/batch-{len(m[kind]):08d}-{uuid.uuid4().hex[:8]}"
+        name = f"{kind}/batch-{uuid.uuid4().hex}"
         if isinstance(lines, DataFrame):
             out = lines.select("value")
         else:
             out = self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
         out.write.text(f"{self.path}/{name}")
-        m[kind].append(name)
-        self._save(m)
-
-    def _replace(self, lines: DataFrame | None, kind: str) -> None:
-        """A new batch instead of all before it; the old ones are then deleted."""
+        for turn in range(RETRIES):  # an append goes behind whatever came in between
+            try:
+                self._commit(lambda m: m[kind].append(name))
+                return
+            except Conflict:
+                if turn == RETRIES - 1:
+                    self.fs.delete(self._at(name), True)
+                    raise
+                time.sleep(0.05 * (turn + 1))
+
+    def _replace(self, lines: DataFrame | None, kind: str, read: int) -> None:
+        """A new batch instead of all that manifest number `read` names, which it was made from; then those are deleted."""
         self._writable()
-        m = self.manifest()
-        old, m[kind] = m[kind], []
+        old, new = self._load()[0][kind], []
         if lines is not None:
-            name = f"{kind}/base-{uuid.uuid4().hex[:8]}"
-            lines.select("value").write.text(f"{self.path}/{name}")
-            m[kind].append(name)
-        self._save(m)
+            new = [f"{kind}/base-{uuid.uuid4().hex}"]
+            lines.select("value").write.text(f"{self.path}/{new[0]}")
+        m, number = self._load()
+        if number != read:
+            for x in new:
+                self.fs.delete(self._at(x), True)
+            raise Conflict(f"manifest {number} is newer than {read}")
+        m[kind] = new
+        try:
+            self._save(m, read + 1)
+        except Conflict:
+            for x in new:
+                self.fs.delete(self._at(x), True)
+            raise
         for x in old:
             self.fs.delete(self._at(x), True)
 
@@ -147,6 +202,12 @@ class Database:
     def __len__(self) -> int:
         return self.documents().count()
 
+    def is_empty(self) -> bool:
+        return self.documents().isEmpty()
+
+    def ids(self) -> DataFrame:
+        return self.documents().select("_id")
+
     # writes --------------------------------------------------------------------
     @staticmethod
     def _checked(doc) -> dict:
@@ -204,6 +265,7 @@ class Database:
 
     def restore(self, id_: str) -> dict:
         """Bring back the newest trash entry of a deleted document, with its files."""
+        self._writable()
         row = maintenance.latest(self.trash()).where(F.col("_id") == id_).first()
         if row is None:
             raise NotFound(id_)
@@ -238,6 +300,7 @@ class Database:
 
     def release_file(self, ref: str) -> bool:
         """Trash a file unless some string of a live document contains its reference."""
+        self._writable()
         if ":" not in ref or "." not in ref:
             raise InvalidArgument(ref)
         if not self.documents().where(F.col("raw").contains(ref)).isEmpty():
@@ -246,28 +309,31 @@ class Database:
 
     def gc_buckets(self) -> int:
         """Trash all files that no live document refers to, in either form."""
+        self._writable()
         gone = [r["ref"] for r in refs.orphans(self.files.refs(), refs.extract(self.documents())).toLocalIterator()]
         return sum(self._file_op(r, self.files.delete) for r in gone)
 
     # maintenance ---------------------------------------------------------------------
     def compact(self) -> None:
         """Rewrite the log as its live documents; history, tombstones and patches go."""
-        self._replace(self.documents().select(F.col("raw").alias("value")), "log")
+        read = self._version()
+        self._replace(self.documents().select(F.col("raw").alias("value")), "log", read)
 
     def purge_trash(self, ttl_s: int, now: int | None = None) -> int:
         """Drop trash entries deleted ttl_s seconds ago or longer; returns how many."""
         now = int(time.time()) if now is None else now
-        t = self.trash()
+        read, t = self._version(), self.trash()
         before = t.count()
         kept = maintenance.keep_after(t, now - ttl_s)
         left = kept.count()
         if left < before:
-            self._replace(kept.select(F.col("raw").alias("value")), "trash")
+            self._replace(kept.select(F.col("raw").alias("value")), "trash", read)
         return before - left
 
     def purge_all_trash(self) -> int:
+        read = self._version()
         n = self.trash().count()
-        self._replace(None, "trash")
+        self._replace(None, "trash", read)
         return n
 
     def export_snapshot(self, to: str) -> dict:
@@ -277,9 +343,8 @@ class Database:
         for bucket in self.files.buckets():
             for name in self.files.list(bucket):
                 self.jvm_copy(self._at("files", bucket, name), other._at("files", bucket, name))
-        m = other.manifest() | {"type": "snapshot", "documents": len(other)}
-        other._save(m)
-        return m
+        count = len(other)
+        return other._commit(lambda m: m.update(type="snapshot", documents=count))
 
     def jvm_copy(self, a, b) -> None:
         jvm, conf = self.files.jvm, self.files.hadoop
@@ -297,11 +362,10 @@ class Database:
 
     def merge_from(self, source: str) -> None:
         """Union with another database by id; the later `_modified` wins, on a tie the other's."""
-        other = Database(self.spark, source, create=False)
-        self._replace(maintenance.merge_raw(self.documents(), other.documents()).select(F.col("raw").alias("value")), "log")
-        m = self.manifest()
-        m["buckets"] = sorted({*m["buckets"], *other.manifest()["buckets"]})
-        self._save(m)
+        other, read = Database(self.spark, source, create=False), self._version()
+        self._replace(maintenance.merge_raw(self.documents(), other.documents()).select(F.col("raw").alias("value")), "log", read)
+        more = other.manifest()["buckets"]
+        self._commit(lambda m: m.update(buckets=sorted({*m["buckets"], *more})))
 
     def verify(self) -> dict:
         return maintenance.verify(self.lines(), self.documents(), self.files.refs())
@@ -342,15 +406,16 @@ class Database:
                     value = json.loads(text)
                 except ValueError:
                     value = text
-        m = self.manifest()
-        at = m
-        *steps, last = path.split(".")
-        for key in steps:
-            if not isinstance(at.get(key), dict):
-                at[key] = {}
-            at = at[key]
-        at[last] = value
-        self._save(m)
+
+        def change(at: dict) -> None:
+            *steps, last = path.split(".")
+            for key in steps:
+                if not isinstance(at.get(key), dict):
+                    at[key] = {}
+                at = at[key]
+            at[last] = value
+
+        self._commit(change)
 
     def destroy(self, force: bool = False) -> None:
         """Delete the whole folder."""

@@ -23,3 +23,7 @@ class SerializationError(StoreError):
 
 class Locked(StoreError):
     """The folder is locked or read-only."""
+
+
+class Conflict(StoreError):
+    """Another writer committed first."""

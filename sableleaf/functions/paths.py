@@ -75,4 +75,4 @@ def fold(raw: str, patches: list[str]) -> str:
             set_path(doc, p["path"], p["value"])
         elif op == "remove" and isinstance(p.get("path"), str):
             remove_path(doc, p["path"])
-    return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
+    return json.dumps(doc, ensure_ascii=False, allow_nan=False, separators=(",", ":"))

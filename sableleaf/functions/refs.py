@@ -47,12 +47,6 @@ def extract(docs: DataFrame) -> DataFrame:
     return docs.select("_id", "raw").mapInArrow(_extract, "_id string, refs array<string>")
 
 
-def is_ref(c: Column) -> Column:
-    """The same test on a string column."""
-    after = F.regexp_extract(c, r"(?s)^[^:]*:(.*)$", 1)
-    return c.contains(":") & c.contains(".") & (F.octet_length(after) >= 8)
-
-
 def counts(refs: DataFrame) -> DataFrame:
     """Documents that hold each reference: (ref, n_docs)."""
     return refs.select("_id", F.explode(F.array_distinct("refs")).alias("ref")).groupBy("ref").agg(F.count("*").alias("n_docs"))

@@ -149,7 +149,17 @@ def _equal(c: Column, t: T.DataType, v):
         return a == b
     if kind(v) in ("array", "object"):
         return F.to_json(F.call_function("to_variant_object", c)) == F.to_json(F.parse_json(F.lit(_json(v))))
-    return c == _literal(t, v)
+    return _timed(c, t, _literal(t, v), lambda x: c == x, False)
+
+
+def _timed(c: Column, t: T.DataType, x: Column, test, otherwise: bool) -> Column:
+    """A test against a literal; one that is no time, where the column is, has a fixed outcome.
+
+    The literal is constant, so the plan keeps one of the two only.
+    """
+    if not isinstance(t, _TIME):
+        return test(x)
+    return F.when(x.isNull(), F.when(c.isNotNull(), F.lit(otherwise))).otherwise(test(x))
 
 
 def _one_of(c: Column, t: T.DataType, values: list):
@@ -172,4 +182,5 @@ def _order(c: Column, t: T.DataType, v, op: str):
         low, high = math.floor(v), math.ceil(v)
         return c >= F.lit(high) if op in ("$gt", "$gte") else c <= F.lit(low)
     a, b = _number(c, t, v) if kind(v) == "number" else (c, _literal(t, v))
-    return {"$gt": a > b, "$gte": a >= b, "$lt": a < b, "$lte": a <= b}[op]
+    tests = {"$gt": a.__gt__, "$gte": a.__ge__, "$lt": a.__lt__, "$lte": a.__le__}
+    return _timed(c, t, b, tests[op], op in ("$gte", "$lte"))

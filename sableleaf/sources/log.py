@@ -17,15 +17,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def header() -> str:
-    return json.dumps({"_meta": {"version": 1, "created": str(int(time.time()))}}, separators=(",", ":"))
-
-
 def parsed(value: Column) -> Column:
-    """The line's only JSON value, or NULL for lines that aren't one value of valid UTF-8."""
+    """The line's only JSON value, or NULL for lines that aren't one value of valid UTF-8, or hold a number beyond all doubles."""
     v = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
     one = F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
-    return F.when(F.is_valid_utf8(value) & one, F.try_variant_get(v, "$[0]", "variant"))
+    # only numbers of so many digits, or so large an exponent, can be out of range
+    large = value.rlike(r"[eE]\+?0*[1-9][0-9]{2}|[0-9]{300}")
+    return F.when(F.is_valid_utf8(value) & one & ~(large & F.to_json(v).rlike(r"(?<=[\[:,])\"?-?Infinity\"?(?=[\]},])")), F.try_variant_get(v, "$[0]", "variant"))
 
 
 def scan(spark: SparkSession, paths) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from sableleaf.database import Database, new_id
-from sableleaf.errors import InvalidArgument, Locked, NotFound
+from sableleaf.errors import Conflict, InvalidArgument, Locked, NotFound
 from sableleaf.functions import paths, refs
 from sableleaf.operators.replay import replay
 from sableleaf.sources import log
@@ -45,8 +45,8 @@ def replayed(spark, lines):
 
 
 def test_line_guards(spark):
-    good = ['{"_id":"a"}', ' {"_id":"b"}\r', '{"_id":"c","x":1,"x":2}', "[1]", "null", "3"]
-    bad = ['{"_id":"a"', '{"_id":"a"} x', '{"a":1}{"b":2}', "1,2", "garbage", '{"a":NaN}']
+    good = ['{"_id":"a"}', ' {"_id":"b"}\r', '{"_id":"c","x":1,"x":2}', "[1]", "null", "3", '{"a":1e300}', '{"a":"1e400, Infinity"}']
+    bad = ['{"_id":"a"', '{"_id":"a"} x', '{"a":1}{"b":2}', "1,2", "garbage", '{"a":NaN}', '{"a":1e400}', '[-1E+999]', '{"a":' + "9" * 400 + "}"]
     assert log.corrupt_count(frame(spark, good + bad)).first()["n_corrupt"] == len(bad)
     assert log.valid(frame(spark, good + bad)).count() == len(good)
 
@@ -125,9 +125,35 @@ def test_database(spark, tmp_path):
     db.config_set("limits.size", "12")
     assert db.config_get("buckets") == ["x", "y"] and db.config_get("limits.size") == 12
     assert len(db.recover(f"file://{tmp_path}/rec")) == 3
-    (tmp_path / "db" / ".lock").write_text("")
-    with pytest.raises(Locked):
-        db.insert({})
+    for name in (".lock", ".readonly"):
+        (tmp_path / "db" / name).write_text("")
+        for change in (lambda: db.insert({}), lambda: db.config_set("a", "1"), lambda: db.release_file("b:12345678.x"), db.gc_buckets, lambda: db.restore(c), db.compact):
+            with pytest.raises(Locked):
+                change()
+        (tmp_path / "db" / name).unlink()
+
+
+def test_commits(spark, tmp_path):
+    """Two writers: appends both stay, a rewrite of what another has changed is refused; no empty manifest covers data."""
+    path = f"file://{tmp_path}/db"
+    one, two = Database(spark, path), Database(spark, path)
+    one.insert({"v": 1})
+    two.insert({"v": 2})
+    assert len(one) == len(two) == 2 and not one.is_empty() and one.ids().count() == 2
+    read = one._version()
+    two.insert({"v": 3})
+    with pytest.raises(Conflict):
+        one._replace(one.documents().selectExpr("raw AS value"), "log", read)
+    with pytest.raises(Conflict):
+        one._save(one.manifest(), read + 1)
+    assert len(Database(spark, path, create=False)) == 3
+    # a crash before the manifest has its name leaves the one before
+    (tmp_path / "db" / "manifests" / ".half.tmp").write_text("{")
+    assert len(Database(spark, path)) == 3
+    for f in (tmp_path / "db" / "manifests").glob("*.json"):
+        f.unlink()
+    with pytest.raises(NotFound):
+        Database(spark, path)
 
 
 def test_stream(spark, tmp_path):
