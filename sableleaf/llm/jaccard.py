@@ -19,7 +19,7 @@ SIGNATURE = 1024
 #: Rounds in which a list's members meet one leader each, before leaders are taken off the lists.
 LEADER_ROUNDS = 2
 #: The leaders of a list in the first round after those, and how many times more in each later one.
-FIRST_LEADERS, MORE_LEADERS = 4, 8
+FIRST_LEADERS, MORE_LEADERS = 64, 64
 
 
 def least_overlap(n, percent: int):
@@ -236,7 +236,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A list holds the classes with one token in their frequency prefix. In two
     rounds each list proposes links to one leader, which joins most of a group of
     copies; then lists still in different components meet more and more leaders,
-    eight times as many each round, and a leader that its list has met is taken
+    64 times as many each round, and a leader that its list has met is taken
     off it. A list is done when one component is left in it, so no link between
     components is lost, and groups of copies never expand into all pairs.
 
