@@ -12,7 +12,7 @@ from sableleaf.sources import log
 def trash_entries(lines: DataFrame) -> DataFrame:
     """(pos, _id, deleted, raw) of a trash log; deleted is NULL unless a whole number of 0 or more."""
     v = F.col("v")
-    t = lines.withColumn("v", log.parsed(F.col("value"))).where("v is not null")
+    t = log.parsed(lines).where("v is not null")
     at = F.try_variant_get(v, "$._deleted", "variant")
     number = F.when(F.schema_of_variant(at) == "BIGINT", F.try_variant_get(v, "$._deleted", "bigint"))
     id_ = F.when(F.schema_of_variant(F.try_variant_get(v, "$._id", "variant")) == "STRING", F.try_variant_get(v, "$._id", "string"))
@@ -57,6 +57,6 @@ def verify(lines: DataFrame, docs: DataFrame, files: DataFrame) -> dict:
 
 def statistics(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """One row: lines, corrupt lines, bytes of the log, live documents and their bytes."""
-    a = lines.agg(F.count("*").alias("n_lines"), F.count_if(log.parsed(F.col("value")).isNull()).alias("n_corrupt"), F.sum(F.octet_length("value")).alias("log_bytes"))
+    a = log.parsed(lines).agg(F.count("*").alias("n_lines"), F.count_if(F.col("v").isNull()).alias("n_corrupt"), F.sum(F.octet_length("value")).alias("log_bytes"))
     b = docs.agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("raw")).alias("doc_bytes"))
     return a.crossJoin(b)  # one row each

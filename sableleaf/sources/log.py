@@ -17,13 +17,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def parsed(value: Column) -> Column:
-    """The line's only JSON value, or NULL for lines that aren't one value of valid UTF-8, or hold a number beyond all doubles."""
-    v = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
-    one = F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull()
+def parsed(lines: DataFrame) -> DataFrame:
+    """Adds to lines (value) their only JSON value (v), NULL for lines that aren't one value of valid UTF-8, or hold a number beyond all doubles.
+
+    The text is parsed once: a generated column isn't written out anew wherever it is used.
+    """
+    out = lines.withColumn("__v", F.explode(F.array(F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]"))))))
+    v, value = F.col("__v"), F.col("value")
+    first = F.try_variant_get(v, "$[0]", "variant")
     # only numbers of so many digits, or so large an exponent, can be out of range
-    large = value.rlike(r"[eE]\+?0*[1-9][0-9]{2}|[0-9]{300}")
-    return F.when(F.is_valid_utf8(value) & one & ~(large & F.to_json(v).rlike(r"(?<=[\[:,])\"?-?Infinity\"?(?=[\]},])")), F.try_variant_get(v, "$[0]", "variant"))
+    large = value.rlike(r"[eE]\+?0*[1-9][0-9]{2}|[0-9]{300}") & F.to_json(v).rlike(r"(?<=[\[:,])\"?-?Infinity\"?(?=[\]},])")
+    good = F.is_valid_utf8(value) & F.try_variant_get(v, "$[1]", "variant").isNull() & ~large
+    return out.withColumn("v", F.explode(F.array(F.when(good, first)))).drop("__v")
 
 
 def scan(spark: SparkSession, paths) -> DataFrame:
@@ -47,19 +52,19 @@ def classify(lines: DataFrame) -> DataFrame:
     """
     v = F.col("v")
     text = lambda key: F.when(F.schema_of_variant(F.try_variant_get(v, key, "variant")) == "STRING", F.try_variant_get(v, key, "string"))
-    e = lines.withColumn("v", parsed(F.col("value"))).where("v is not null").withColumn("_id", text("$._id")).where("_id is not null")
+    e = parsed(lines).where("v is not null").withColumn("_id", F.explode(F.array(text("$._id")))).where("_id is not null")
     kind = F.when(F.try_variant_get(v, "$._deleted", "variant").isNotNull(), "tombstone").when(text("$._op").isNotNull(), "patch").otherwise("doc")
     return e.select("pos", "_id", kind.alias("kind"), F.col("value").alias("raw"))
 
 
 def valid(lines: DataFrame) -> DataFrame:
     """Lines that hold one JSON value: what recovery keeps, history and tombstones too."""
-    return lines.where(parsed(F.col("value")).isNotNull())
+    return parsed(lines).where("v is not null").drop("v")
 
 
 def corrupt_count(lines: DataFrame) -> DataFrame:
     """Lines that hold none, as one row (n_corrupt)."""
-    return lines.agg(F.count_if(parsed(F.col("value")).isNull()).alias("n_corrupt"))
+    return parsed(lines).agg(F.count_if(F.col("v").isNull()).alias("n_corrupt"))
 
 
 def dumps(value) -> str:
