@@ -49,5 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: No SQL: edit matching and the tokenizer aren't expressible; tests hold run() against a brute-force version.
+#: No SQL: edit matching and the tokenizer aren't expressible. A test holds run()'s documents and copies to the operators' decisions;
+#: those are tested against brute force one by one.
 ORACLE_SQL = None
