@@ -101,14 +101,15 @@ class Scratch:
                 drop(self.spark, path)
 
 
-def narrowed(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def narrowed(df: DataFrame, key: str, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of df that may have a (whole-number) key of `wanted`, by their remainders, which are bounded and broadcast.
 
     A filter before a join that moves wide rows; it leaves out fewer of them where
-    many keys are wanted, and none of those wanted.
+    many keys are wanted, and none of those wanted. With `how` "left_anti": the
+    other rows, of which none has such a key.
     """
     rest = F.broadcast(wanted.select(F.pmod(F.xxhash64(key), F.lit(RESIDUES)).alias("__r")).distinct())
-    return df.join(rest, F.pmod(F.xxhash64(key), F.lit(RESIDUES)) == F.col("__r"), "left_semi")
+    return df.join(rest, F.pmod(F.xxhash64(key), F.lit(RESIDUES)) == F.col("__r"), how)
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:

@@ -323,8 +323,10 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     back.
     """
     found = jaccard_components(docs, id_col, text_col, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    own = docs.withColumn("__id", F.col(id_col).cast("long"))
+    # only texts whose ids may be gone move for the join
+    out = narrowed(own, "__id", gone).join(gone, "__id", "left_anti").unionByName(narrowed(own, "__id", gone, "left_anti")).drop("__id")
     twice = staged(docs.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1 and __id is not null").select("__id"), "repeated_ids")
     if twice.isEmpty():
         return out
