@@ -173,6 +173,18 @@ def test_jaccard_repeated_rows(spark):
     assert kept == Counter({(1, a): 1, (3, b): 1, (3, "x y z"): 1, (None, a): 2, (4, None): 1, (5, ""): 1})
 
 
+def test_dedupe_keeps_the_smallest_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = [*base[:59], "other"]
+    rows = [(f"own{k}", k, " ".join(f"d{k}x{j}" for j in range(20))) for k in range(10, 300)]
+    rows += [("a", 3, " ".join(base)), ("b", 1, " ".join(near)), ("c", 2, " ".join(base)), ("n", None, " ".join(base)), ("z", 400, None), ("y", 401, " ")]
+    docs = spark.createDataFrame(rows, "extra string, doc_id int, text string")
+    out = jaccard.dedupe(docs)
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    assert sorted(r.extra for r in out.collect()) == sorted(x for x, *_ in rows if x not in "ac")
+    assert jaccard.dedupe(docs.limit(0)).count() == 0
+
+
 def test_jaccard_empty(spark):
     assert jaccard.dedupe(empty(spark)).count() == 0
     assert jaccard.jaccard_components(empty(spark)).count() == 0
