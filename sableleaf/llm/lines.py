@@ -26,7 +26,9 @@ def _digest(line: Column) -> list[Column]:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(rid, doc_id, digest, line_no, line) of the lines that have a word; split at \\n only."""
-    rows = docs.select("rid", "doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # the digest comes before the lines do: beside them, it would be taken of the whole text for each
+    whole = docs.select("rid", "doc_id", F.xxhash64("text").alias("digest"), "text")
+    rows = whole.select("rid", "doc_id", "digest", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -47,7 +49,7 @@ def piece_keys(line: Column, chars: Column, edits: int) -> Column:
             for move in moves:
                 at = cut[i] + move
                 keys.append(F.when((n >= 0) & (at >= 0) & (at + cut[i + 1] - cut[i] <= chars), F.xxhash64(F.lit(i), n.cast("int"), line.substr(at + 1, cut[i + 1] - cut[i]))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    return F.array_except(F.array(*keys), F.array(F.lit(None).cast("long")))
 
 
 def _step(code: np.ndarray) -> Iterator[np.ndarray]:
@@ -180,8 +182,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     h1, h2 = _digest(F.col("line"))
     with Scratch(spark) as tmp:
-        keys = [piece_keys(F.col("line"), F.char_length("line"), edits).alias("keys")] if edits else []
-        rows = tmp.staged(lines_of(src).select("rid", "doc_id", "digest", "line_no", h1.alias("h1"), h2.alias("h2"), *keys), "lines")
+        keys = [piece_keys(F.col("line"), F.col("chars"), edits).alias("keys")] if edits else []
+        rows = tmp.staged(lines_of(src).withColumn("chars", F.char_length("line")).select("rid", "doc_id", "digest", "line_no", h1.alias("h1"), h2.alias("h2"), *keys), "lines")
         here = F.struct("doc_id", "line_no", "rid")
         firsts = rows.groupBy("h1", "h2").agg(F.min(here).alias("first"))
         if edits:
