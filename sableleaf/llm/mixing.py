@@ -63,32 +63,76 @@ def rates(groups: DataFrame, cap: int) -> DataFrame:
     return g.select("s", "share", e.alias("e"))
 
 
-def _fitting(tmp: Scratch, free: DataFrame, gap: DataFrame) -> list[DataFrame]:
+def _drawn(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: str, share_col: str | None, share_of: Callable[[Column], Column] | None, *also: Column) -> DataFrame:
+    """What the mix knows of each row: (doc_id, source, size, u, share, s) and the columns `also`; u is drawn from the id."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    own = F.col(share_col) if share_col else F.lit(1)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), u.alias("u"), own.alias("share"), *also)
+    share = (share_of(F.col("size")) if share_of else F.col("share")).cast("decimal(18,6)")
+    return d.withColumn("share", F.greatest(F.coalesce(share, F.lit(0)), F.lit(0)).cast("decimal(18,6)")).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+
+
+def _ranked(d: DataFrame, cap: int) -> DataFrame:
+    """Adds the certain copies, and the Pareto score `q` of those that may get one more, to rows with e and u."""
+    d = d.withColumn("certain", F.floor("e").cast("long")).withColumn("p", F.when(F.col("certain") < cap, F.col("e") - F.col("certain")).otherwise(0.0))
+    may = (F.col("p") > 0) & (F.col("size") > 0)
+    return d.withColumn("q", F.when(may, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))).drop("u", "e", "p")
+
+
+def _fitting(tmp: Scratch, free: DataFrame, gap: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """The documents taken down the Pareto order wherever they fit what their source still lacks (s, gap).
 
     The same as going through them one by one. Each round marks (`fits`) the
     longest run that fits together, summed by range first, then leaves out those
     larger than what is left: the gap falls below the size of the one that ended
-    the run, so the rounds are few. Returns a table of (rid) for each round.
+    the run, so the rounds are few. Returns two tables for each round: (rid) of
+    those taken, and (s, gap, last), by which they can be told again: of the rows
+    no larger than the gap, all up to `last` in the order are taken by then.
+    What joins the rows by source is written first, so that its size is known.
     """
-    taken = []
+    taken, rounds = [], []
+    gap = tmp.staged(gap, "gap")
     while True:
         free = free.join(gap, "s").where("size <= gap")
         runs = free.groupBy("s", "r").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
         runs = runs.withColumn("upto", F.sum("words").over(W.partitionBy("s").orderBy("r")))
         edge = runs.where("upto > gap").groupBy("s").agg(F.min(F.struct("r", (F.col("gap") - F.col("upto") + F.col("words")).alias("room"))).alias("x")).select("s", F.col("x.r").alias("edge"), "x.room")
-        cut = free.join(edge, "s", "left")
+        cut = free.join(tmp.staged(edge, "edge"), "s", "left")
         on = F.col("edge").isNotNull() & (F.col("r") == F.col("edge"))
         upto = F.sum("size").over(W.partitionBy("s").orderBy("q", "doc_id", "size", "rid").rowsBetween(W.unboundedPreceding, 0))
         inside = cut.where(on).withColumn("fits", upto <= F.col("room"))
         state = tmp.staged(cut.where(~on).withColumn("fits", F.col("edge").isNull() | (F.col("r") < F.col("edge"))).unionByName(inside).drop("edge", "room"), "fitting")
         if state.isEmpty():
-            return taken
+            return taken, rounds
         taken.append(state.where("fits").select("rid"))
-        gap = state.groupBy("s").agg((F.first("gap") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("gap"))
+        last = F.max(F.when(F.col("fits"), F.struct("q", "doc_id", "size")))
+        done = tmp.staged(state.groupBy("s").agg(F.first("gap").alias("gap"), last.alias("last"), F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).alias("words")), "round")
+        rounds.append(done.select("s", "gap", "last"))
+        gap = done.select("s", (F.col("gap") - F.col("words")).alias("gap"))
         free = state.where("not fits").drop("gap", "fits")
 
 
+def _mix(tmp: Scratch, docs: DataFrame, id_col: str, source_col: str, text_col: str, weights, cap: int, seed: str, share_col: str | None, share_of: Callable[[Column], Column] | None) -> tuple[DataFrame, DataFrame]:
+    """The rows of `mix`, and the rules that give them: (s, share, e, rounds), a row for each share of a source."""
+    d = tmp.staged(_drawn(docs, id_col, source_col, text_col, seed, share_col, share_of, F.monotonically_increasing_id().alias("rid")), "sizes")
+    sums = tmp.staged(d.groupBy("s", "share").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "sums")
+    goal = targets(sums.groupBy("s").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")).select("source", "source_size"), weights, cap)
+    goal = goal.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    rate = rates(sums.select("s", "share", "words").join(goal.select("s", "target"), "s"), cap)
+    rate = tmp.staged(rate.join(goal, "s"), "rates")  # a row for each share of a source
+    d = _ranked(d.join(rate, ["s", "share"]), cap)
+    d = tmp.staged(d.withColumn("r", F.floor(F.col("q") / (1 + F.col("q")) * RANGES)).drop("share"), "ranked")
+    gap = d.groupBy("s").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("gap"))
+    open_ = d.where("q is not null").select("s", "r", "q", "doc_id", "size", "rid")
+    taken, rounds = _fitting(tmp, open_, gap)
+    more = reduce(DataFrame.unionByName, taken, d.limit(0).select("rid"))
+    none = open_.limit(0).select("s", F.lit(0.0).alias("gap"), F.struct("q", "doc_id", "size").alias("last"))
+    rule = reduce(DataFrame.unionByName, rounds, none).groupBy("s").agg(F.collect_list(F.struct("gap", "last")).alias("rounds"))
+    d = d.join(more.withColumn("more", F.lit(1)), "rid", "left").withColumn("copies", F.col("certain") + F.coalesce("more", F.lit(0)))
+    out = d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out, rate.select("s", "share", "e").join(rule, "s", "left")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=(5, 2, 1), cap: int = 3, seed: str = "mix", share_col: str | None = None, share_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """Copies of each document that a mix of sources takes.
 
@@ -112,45 +156,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     same u and are ranked by size after it. Runs agree. An empty table gives an
     empty one; other columns are ignored.
     """
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    source = F.col(source_col).cast("string")
-    own = F.col(share_col) if share_col else F.lit(1)
-    d = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), word_count(F.col(text_col)).alias("size"), u.alias("u"), own.alias("share"), F.monotonically_increasing_id().alias("rid"))
-    share = (share_of(F.col("size")) if share_of else F.col("share")).cast("decimal(18,6)")
-    d = d.withColumn("share", F.greatest(F.coalesce(share, F.lit(0)), F.lit(0)).cast("decimal(18,6)")).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     with Scratch(docs.sparkSession) as tmp:
-        d = tmp.staged(d, "sizes")
-        sums = tmp.staged(d.groupBy("s", "share").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "sums")
-        goal = targets(sums.groupBy("s").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")).select("source", "source_size"), weights, cap)
-        goal = goal.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-        rate = rates(sums.select("s", "share", "words").join(goal.select("s", "target"), "s"), cap)
-        rate = tmp.staged(rate.join(goal, "s"), "rates")  # a row for each share of a source
-        d = d.join(rate, ["s", "share"])
-        d = d.withColumn("certain", F.floor("e").cast("long")).withColumn("p", F.when(F.col("certain") < cap, F.col("e") - F.col("certain")).otherwise(0.0))
-        may = (F.col("p") > 0) & (F.col("size") > 0)
-        d = d.withColumn("q", F.when(may, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))))
-        d = tmp.staged(d.withColumn("r", F.floor(F.col("q") / (1 + F.col("q")) * RANGES)).drop("u", "share", "e", "p"), "ranked")
-        gap = d.groupBy("s").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("gap"))
-        more = reduce(DataFrame.unionByName, _fitting(tmp, d.where("q is not null").select("s", "r", "q", "doc_id", "size", "rid"), gap), d.limit(0).select("rid"))
-        d = d.join(more.withColumn("more", F.lit(1)), "rid", "left").withColumn("copies", F.col("certain") + F.coalesce("more", F.lit(0)))
-        return staged(d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")), "mix")
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+        return staged(_mix(tmp, docs, id_col, source_col, text_col, weights, cap, seed, share_col, share_of)[0], "mix")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=(5, 2, 1), cap: int = 3, seed: str = "mix", share_col: str | None = None, share_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """The documents of the mix, each row as often as it is taken, with all columns.
 
-    Rows that share id and source and size are taken alike often in sum; where
-    that doesn't go evenly, copies are dealt to them in order of the text's
-    digest.
+    No text moves: a row's copies are told where it is, from the rates and the
+    rounds' gaps and last documents, a few rows for each source. Only rows that
+    share id, source and size can't be told apart so; if there are any, they are
+    joined with their copies. They are taken alike often in sum; where that doesn't
+    go evenly, copies are dealt to them in order of the text's digest.
     """
-    key = {"__i": F.col(id_col), "__s": F.col(source_col).cast("string"), "__z": word_count(F.col(text_col)), "__t": F.xxhash64(F.col(text_col).cast("string"))}
-    own = docs.select("*", *(v.alias(k) for k, v in key.items()))
-    got = mix(docs, id_col, source_col, text_col, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__n"), F.count("*").alias("__many")).where("__n > 0")
-    got = staged(got.select(F.col("doc_id").alias("__i2"), F.col("source").alias("__s2"), F.col("size").alias("__z2"), "__n", "__many"), "taken")
-    same = F.col("__i").eqNullSafe(F.col("__i2")) & F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__z") == F.col("__z2"))
-    out = own.join(got, same).withColumn("__c", F.floor(F.col("__n") / F.col("__many")))
-    odd = got.where("__n % __many <> 0")
-    if not odd.isEmpty():
-        place = F.row_number().over(W.partitionBy("__i", "__s", "__z").orderBy("__t")) - 1
-        out = out.where("__n % __many = 0").unionByName(own.join(odd, same).withColumn("__c", F.floor(F.col("__n") / F.col("__many")) + (place < F.col("__n") % F.col("__many")).cast("long")))
-    return out.where("__c > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__c").cast("int"))).alias("__k")).drop("__k")
+    how = (id_col, source_col, text_col)
+    with Scratch(docs.sparkSession) as tmp:
+        rows, rules = _mix(tmp, docs, *how, weights, cap, seed, share_col, share_of)
+        rules = staged(rules, "rules")
+        key = rows.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n"), F.count("*").alias("many")).where("many > 1")
+        again = staged(key.select(F.col("doc_id").alias("i"), F.col("source").alias("o"), F.col("size").alias("z"), "n", "many"), "repeated")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    own = _drawn(docs, *how, seed, share_col, share_of, row, F.xxhash64(F.col(text_col).cast("string")).alias("t"))
+    place = F.struct("q", "doc_id", "size")
+    fits = F.exists("rounds", lambda x: (F.col("size") <= x["gap"]) & (place <= x["last"]))
+    more = F.col("q").isNotNull() & F.coalesce(fits, F.lit(False))
+    out = _ranked(own.join(rules, ["s", "share"]), cap).select("row", "doc_id", "source", "size", (F.col("certain") + more.cast("long")).alias("copies"))
+    if not again.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("o")) & (F.col("size") == F.col("z"))
+        at = F.row_number().over(W.partitionBy("i", "o", "z").orderBy("t")) - 1
+        dealt = own.join(again, same).withColumn("copies", F.floor(F.col("n") / F.col("many")) + (at < F.col("n") % F.col("many")).cast("long"))
+        out = out.join(again, same, "left_anti").unionByName(dealt.select("row", "doc_id", "source", "size", "copies"))
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -386,6 +386,30 @@ def test_mix_by_pareto_order(spark):
             assert left < min([n for _, i, n in rank if want[i] == certain[i]], default=3)
 
 
+def test_mixed_takes_what_mix_says(spark):
+    """Rows told by the rules are those that the mix takes: repeated ids and rows, nulls, long documents and clashing names included."""
+    r = random.Random(21)
+    rows = [(i, " ".join([f"w{i}"] * r.choice([0, 3, 9, 30, 2000 if i % 97 == 0 else 12])), r.choice(["a", "a", "b", None]), i) for i in range(500)]
+    rows += [(7, "x y z", "a", 1), (7, "x y z", "a", 2), (7, "x y w", "a", 3), (None, "n n", "b", 4), (None, "n n", "b", 5), (None, None, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long").withColumn("row", F.lit("r")).withColumn("gap", F.lit(1)).repartition(5)
+    key = lambda x: (x["doc_id"], x["source"], mixing_words(x["text"]))
+    for share in (None, length_share):
+        want, got = Counter(), Counter()
+        for x in mixing.mix(df, share_of=share).collect():
+            want[x["doc_id"], x["source"], x["size"]] += x["copies"]
+        out = mixing.mixed(df, share_of=share)
+        assert out.columns == df.columns
+        for x in out.collect():
+            assert x["row"] == "r" and (x["doc_id"], x["text"], x["source"], x["size"]) in rows
+            got[key(x)] += 1
+        assert +want == got
+    assert mixing.mixed(empty(spark)).count() == 0
+
+
+def mixing_words(text):
+    return len((text or "").split())
+
+
 def test_mix_unequal_shares(spark):
     """Inclusion follows the shares: over many seeds a share of 3 is taken three times as often."""
     rows = [(i, "w w w w", "s", 3.0 if i % 2 else 1.0) for i in range(40)] + [(100 + i, "w w w w", "t", 1.0) for i in range(40)]
