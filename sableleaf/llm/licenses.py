@@ -44,7 +44,7 @@ TEMPLATES = {
 #: Least cosine of a header line, and of the whole text of a licence file.
 HEADER, FILE = 0.75, 0.6
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-_FILE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^notice"
+_FILE_NAME = r"(?iu)^(un)?licen[cs]e|^copying|^notice"
 
 
 #: Most of (1 + log c)^2 / c, by which a term that a window holds c times outweighs c single ones.
@@ -199,7 +199,9 @@ def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[st
 def scan_licenses(docs: DataFrame, path, id_col: str = "doc_id", text_col: str = "text", templates=None, header: float = HEADER, whole: float = FILE) -> DataFrame:
     """License of each document: (doc_id, path, license, cosine, origin, declared_in).
 
-    `path` is a column (or its name) of `/`-separated paths. A licence file is one
+    `path` is a column (or its name) of `/`-separated paths, or a table (doc_id,
+    path) of the places where documents stand: a document then has a row for each
+    of its places, and one with a null path if it has none; texts don't move. A licence file is one
     named LICENSE, COPYING or NOTICE, or one whose whole text reaches `whole`
     against a template or a whole licence (`full_texts`, unless templates are
     given); every other document is searched for a header, its line or wrapped or
@@ -213,7 +215,8 @@ def scan_licenses(docs: DataFrame, path, id_col: str = "doc_id", text_col: str =
     empty one; other columns are ignored.
     """
     spark = docs.sparkSession
-    path = F.col(path) if isinstance(path, str) else path
+    places = path if isinstance(path, DataFrame) else None
+    path = F.lit(None) if places is not None else F.col(path) if isinstance(path, str) else path
     d = docs.select(F.col(id_col).alias("doc_id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     vocabulary = {t for texts in (templates or TEMPLATES).values() for x in texts for t in terms(x)}
     full = {} if templates else full_texts()
@@ -221,7 +224,6 @@ def scan_licenses(docs: DataFrame, path, id_col: str = "doc_id", text_col: str =
     bound_batches(spark)
     df_all, n = document_frequencies(d.select("text"), vocabulary | long)
     df = {t: df_all[t] for t in vocabulary}
-    named = re.compile(_FILE_NAME)
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -230,9 +232,8 @@ def scan_licenses(docs: DataFrame, path, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in slices(batch, "text"):
                 out = []
-                for p, t in zip(part.column("path").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for t in part.column("text").to_pylist():
                     t = t or ""
-                    is_file = bool(p and named.search(p.rsplit("/", 1)[-1]))
                     hit = (None, 0.0)
                     if m.hint.search(t.lower()):
                         words = terms(t)
@@ -243,17 +244,25 @@ def scan_licenses(docs: DataFrame, path, id_col: str = "doc_id", text_col: str =
                         out.append((hit[0], hit[1], "file"))
                         continue
                     name, cos, _ = m.header(t, header)
-                    out.append((name, cos if name else None, ("file" if is_file else "header") if name else None))
+                    out.append((name, cos if name else None, "header" if name else None))
                 name, cos, origin = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("path"), pa.array(name, pa.string()), pa.array(cos, pa.float64()), pa.array(origin, pa.string())], ["doc_id", "path", "license", "cosine", "origin"])
 
-    own = staged(d.mapInArrow(run, f"doc_id {kind}, path string, license string, cosine double, origin string").withColumn("folder", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)), "licenses")
+    found = d.mapInArrow(run, f"doc_id {kind}, path string, license string, cosine double, origin string")
+    if places is not None:
+        places = places.select("doc_id", F.col("path").cast("string").alias("path")).where("doc_id is not null and path is not null").distinct()
+        found = found.drop("path").join(places, "doc_id", "left").select("doc_id", "path", "license", "cosine", "origin")
+    is_file = F.element_at(F.split("path", "/"), -1).rlike(_FILE_NAME)
+    found = found.withColumn("origin", F.when(F.col("origin").isNotNull() & is_file, "file").otherwise(F.col("origin")))
+    own = staged(found.withColumn("folder", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)), "licenses")
     # the licence of each folder, then of each folder with documents that lack one
     of = own.where("origin = 'file' and path is not null").groupBy("folder").agg(F.min(F.struct((-F.col("cosine")).alias("k"), "path", "license")).alias("f")).select(F.col("folder").alias("above"), "f.license", "f.path")
     open_ = own.where("origin is null and path is not null").select("folder").distinct()
     depth = F.size(F.split("folder", "/"))
     up = open_.select("folder", F.explode(F.sequence(F.lit(0), depth - 1)).alias("k")).select("folder", "k", F.when(F.col("k") == 0, "").otherwise(F.concat(F.array_join(F.slice(F.split("folder", "/"), F.lit(1), F.col("k")), "/"), F.lit("/"))).alias("above"))
     near = staged(up.join(of, "above").groupBy("folder").agg(F.max(F.struct("k", "license", "path")).alias("n")).select("folder", F.col("n.license").alias("given"), F.col("n.path").alias("from")), "inherited")
-    out = own.join(near, "folder", "left")
-    take = F.col("origin").isNull() & F.col("path").isNotNull() & F.col("given").isNotNull()
+    # rows that can't inherit don't join: those without a path would all meet in one task
+    lacks = F.col("origin").isNull() & F.col("path").isNotNull()
+    out = own.where(lacks).join(near, "folder", "left").unionByName(own.where(~lacks), allowMissingColumns=True)
+    take = F.col("given").isNotNull()
     return out.select("doc_id", "path", F.when(take, F.col("given")).otherwise(F.col("license")).alias("license"), "cosine", F.when(take, "inherited").otherwise(F.col("origin")).alias("origin"), F.when(take, F.col("from")).when(F.col("origin").isNotNull(), F.col("path")).alias("declared_in"))

@@ -42,9 +42,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def page_places(pages: DataFrame) -> DataFrame:
+    """(doc_id, path) of the documents that pages show: a page's url ends in the number of its document, before `.html` or a slash.
+
+    The path is host and path of the url without that slash, so a page stands in
+    the folder above it, however its url ends. Pages without a host or such a
+    number show none.
+    """
+    path = F.regexp_replace(F.concat(urls.host_of(F.col("url")), urls.path_of(F.col("url"))), "/+$", "")
+    number = F.regexp_extract("path", r"^[^/]+/(?:.*/)?([0-9]+)(?:\.html)?$", 1).try_cast("long")
+    return pages.select(path.alias("path")).select(number.alias("doc_id"), "path").where("doc_id is not null")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return licenses.scan_licenses(docs, F.concat_ws("/", "source", "lang", "doc_id", F.lit("text")))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), page_places(table(spark, sf_dir, "pages")))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
